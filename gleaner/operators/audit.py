@@ -6,7 +6,7 @@ row per second however many requests it sent.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ DEFAULT_LIMIT = 1000
 DEFAULT_WINDOW_SECONDS = 60
 
 _DAY = 86_400
+_NONE = -1  # no second
 
 
 def per_second(requests: DataFrame, key: str, time: str) -> DataFrame:
@@ -51,6 +52,46 @@ def aligned_windows(
     return _verdict(windows, limits)
 
 
+def _group_rows(
+    rows: DataFrame, keys: Sequence[str], order: str, schema: str, columns: Sequence[str],
+    each: Callable[[dict[str, np.ndarray]], Iterator[tuple]],
+) -> DataFrame:
+    """Run ``each`` on the ordered rows of every group, streaming over sorted partitions.
+
+    Unlike a grouped pandas function this has no cost per group beyond the call, and holds one batch and one open group.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def groups(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            arrays = {name: pdf[name].to_numpy() for name in pdf.columns}
+            out = [
+                row
+                for i, j in zip(starts[:-1], starts[1:])
+                for row in each({name: array[i:j] for name, array in arrays.items()})
+            ]
+            return pd.DataFrame.from_records(out, columns=list(columns))
+
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            changes = np.zeros(len(pdf), dtype=bool)
+            changes[0] = True
+            for key in keys:
+                values = pdf[key].to_numpy()
+                changes[1:] |= values[1:] != values[:-1]
+            starts = np.flatnonzero(changes)
+            if len(starts) > 1:
+                yield groups(pdf, starts)
+            held = pdf.iloc[starts[-1]:]
+        if held is not None and len(held):
+            yield groups(held, np.array([0, len(held)]))
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def anchored_windows(
     requests: DataFrame, key: str, time: str, limits: DataFrame | int = DEFAULT_LIMIT,
     window_seconds: int = DEFAULT_WINDOW_SECONDS,
@@ -65,70 +106,52 @@ def anchored_windows(
     block_seconds = max(_DAY, 4 * window_seconds)
     seconds = per_second(requests, key, time).withColumn("block", F.floor(F.col("second") / block_seconds))
 
-    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["second"].to_numpy())
-        following = np.searchsorted(at, at + window_seconds)
-        end = at + window_seconds
-        for i in range(len(at) - 1, -1, -1):
-            if following[i] < len(at):
+    def ends(group: dict[str, np.ndarray]) -> Iterator[tuple]:
+        at, block = group["second"], int(group["block"][0])
+        following = np.searchsorted(at, at + window_seconds).tolist()
+        end = (at + window_seconds).tolist()
+        for i in range(len(end) - 1, -1, -1):
+            if following[i] < len(end):
                 end[i] = end[following[i]]
-        first = pdf["block"].iloc[0] * block_seconds
-        openers = min(np.searchsorted(at, first + window_seconds) + 1, len(at))
-        return pd.DataFrame(
-            {
-                "key_hash": [pdf["key_hash"].iloc[0]],
-                "block": [pdf["block"].iloc[0]],
-                "opener": [at[:openers]],
-                "end": [end[:openers]],
-            }
-        )
+        openers = int(np.searchsorted(at, block * block_seconds + window_seconds)) + 1
+        yield group["key_hash"][0], block, at[:openers].tolist(), end[:openers]
 
-    tables = seconds.groupBy("key_hash", "block").applyInPandas(
-        ends, "key_hash string, block bigint, opener array<bigint>, end array<bigint>"
+    tables = _group_rows(
+        seconds, ["key_hash", "block"], "second",
+        "key_hash string, block bigint, opener array<bigint>, end array<bigint>",
+        ["key_hash", "block", "opener", "end"], ends,
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block")
-        carried: list[int | None] = []
-        opened: list[int | None] = []
-        until: int | None = None
-        for opener, end in zip(pdf["opener"], pdf["end"]):
-            carried.append(None if until is None else until - window_seconds)
+    def chain(group: dict[str, np.ndarray]) -> Iterator[tuple]:
+        until = None
+        for block, opener, end in zip(group["block"], group["opener"], group["end"]):
+            carried = _NONE if until is None else until - window_seconds
             i = 0 if until is None else int(np.searchsorted(opener, until))
-            opened.append(int(opener[i]) if i < len(opener) else None)
-            until = int(end[i]) if i < len(opener) else until
-        return pd.DataFrame(
-            {
-                "key_hash": pdf["key_hash"],
-                "block": pdf["block"],
-                "carried": pd.array(carried, dtype="Int64"),
-                "opened": pd.array(opened, dtype="Int64"),
-            }
-        )
-
-    entries = tables.groupBy("key_hash").applyInPandas(
-        chain, "key_hash string, block bigint, carried bigint, opened bigint"
+            opened = _NONE
+            if i < len(opener):
+                opened, until = int(opener[i]), int(end[i])
+            yield group["key_hash"][0], int(block), carried, opened
+
+    entries = _group_rows(
+        tables, ["key_hash"], "block", "key_hash string, block bigint, carried bigint, opened bigint",
+        ["key_hash", "block", "carried", "opened"], chain,
     )
 
-    def windows_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("second")
-        at, n = pdf["second"].to_numpy(), pdf["n"].to_numpy()
-        carried, opened = pdf["carried"].iloc[0], pdf["opened"].iloc[0]
-        total = np.concatenate([[0], np.cumsum(n)])
-        i = len(at) if pd.isna(opened) else int(np.searchsorted(at, opened))
-        rows = [(int(carried), int(total[i]))] if i else []
+    def windows_of_block(group: dict[str, np.ndarray]) -> Iterator[tuple]:
+        at, key_hash, opened = group["second"], group["key_hash"][0], int(group["opened"][0])
+        total = np.concatenate([[0], np.cumsum(group["n"])]).tolist()
+        following = np.searchsorted(at, at + window_seconds).tolist()
+        i = len(at) if opened == _NONE else int(np.searchsorted(at, opened))
+        if i:
+            yield key_hash, int(group["carried"][0]), total[i]
         while i < len(at):
-            j = int(np.searchsorted(at, at[i] + window_seconds))
-            rows.append((int(at[i]), int(total[j] - total[i])))
-            i = j
-        out = pd.DataFrame(rows, columns=["window_start", "requests"])
-        out.insert(0, "key_hash", pdf["key_hash"].iloc[0])
-        return out
-
-    counted = (
-        seconds.join(entries, ["key_hash", "block"])
-        .groupBy("key_hash", "block")
-        .applyInPandas(windows_of_block, "key_hash string, window_start bigint, requests bigint")
+            yield key_hash, int(at[i]), total[following[i]] - total[i]
+            i = following[i]
+
+    counted = _group_rows(
+        seconds.join(entries, ["key_hash", "block"]), ["key_hash", "block"], "second",
+        "key_hash string, window_start bigint, requests bigint", ["key_hash", "window_start", "requests"],
+        windows_of_block,
     )
     # A window that runs over a block's end was counted in two parts.
     whole = counted.groupBy("key_hash", "window_start").agg(F.sum("requests").alias("requests"))

@@ -20,6 +20,40 @@ from gleaner.functions.patterns import (
 _CANDIDATES = "__candidates"
 
 
+def spread(texts: DataFrame) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A scan gets fewer splits than there are cores only when it is smaller than ``spark.sql.files.openCostInBytes``
+    (4 MB) per core, so what is shuffled here is bounded by that. A larger input is returned as it is.
+    """
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+
+
+def _active(rules: Sequence[PatternRule], types: Iterable[str] | None) -> list[PatternRule]:
+    wanted = None if types is None else set(types)
+    return [rule for rule in rules if wanted is None or rule.ioc_type in wanted]
+
+
+def _prepared(
+    texts: DataFrame, keep: Sequence[str], text: str, rules: Sequence[PatternRule]
+) -> tuple[DataFrame, dict[str, Column]]:
+    """``texts`` with the inputs the rules share, each computed once, and an array of values per indicator type.
+
+    First the candidate tokens, then what several rules prepare from them: two projections, which Catalyst keeps apart
+    because each is used more than once.
+    """
+    reduced = texts.select(*dict.fromkeys([*keep, text]), candidate_tokens(F.col(text)).alias(_CANDIDATES))
+    shared = {rule.prepare: f"__shared_{n}" for n, rule in enumerate(rules) if rule.prepare is not None}
+    reduced = reduced.select("*", *(prepare(F.col(_CANDIDATES)).alias(name) for prepare, name in shared.items()))
+
+    def values(rule: PatternRule) -> Column:
+        base = F.col(_CANDIDATES) if rule.candidates_only else F.col(text)
+        return rule.values(base if rule.prepare is None else F.col(shared[rule.prepare]), base)
+
+    return reduced, {rule.ioc_type: values(rule) for rule in rules}
+
+
 def scan(
     texts: DataFrame,
     keys: Sequence[str],
@@ -36,22 +70,9 @@ def scan(
     enough and nothing is shuffled. With one row per line pass ``False``: values are then also made distinct over the
     rows of a key, with partial aggregation before the shuffle.
     """
-    wanted = None if types is None else set(types)
-    active = [rule for rule in rules if wanted is None or rule.ioc_type in wanted]
-    # Three projections, so that each shared input is computed once: candidate tokens, then what several rules share,
-    # then one generator over all rules.
-    reduced = texts.select(*keys, F.col(text), candidate_tokens(F.col(text)).alias(_CANDIDATES))
-    shared = {rule.prepare: f"__shared_{n}" for n, rule in enumerate(active) if rule.prepare is not None}
-    reduced = reduced.select(
-        "*", *(prepare(F.col(_CANDIDATES)).alias(name) for prepare, name in shared.items())
-    )
-
-    def values(rule: PatternRule) -> Column:
-        base = F.col(_CANDIDATES) if rule.candidates_only else F.col(text)
-        return rule.values(base if rule.prepare is None else F.col(shared[rule.prepare]), base)
-
+    reduced, values = _prepared(texts, keys, text, _active(rules, types))
     per_type = F.array(
-        *(F.struct(F.lit(rule.ioc_type).alias("ioc_type"), values(rule).alias("values")) for rule in active)
+        *(F.struct(F.lit(name).alias("ioc_type"), array.alias("values")) for name, array in values.items())
     )
     found = reduced.select(*keys, F.inline(per_type)).select(
         *keys, "ioc_type", F.explode("values").alias("ioc_value")
@@ -63,6 +84,18 @@ def scan(
     return found if whole_keys else found.dropDuplicates([*keys, "ioc_type", "ioc_value"])
 
 
+def with_ioc_count(
+    files: DataFrame, text: str = "content", rules: Sequence[PatternRule] = DEFAULT_RULES
+) -> DataFrame:
+    """``files`` (one whole file per row) with ``ioc_count``; routing by it needs no join and no shuffle.
+
+    The count comes out of a generator, so that a filter on it is not pushed down and evaluated a second time.
+    """
+    reduced, values = _prepared(files, files.columns, text, rules)
+    total = sum((F.size(array) for array in values.values()), F.lit(0)).cast("bigint")
+    return reduced.select(*files.columns, F.inline(F.array(F.struct(total.alias("ioc_count")))))
+
+
 def count_per_file(files: DataFrame, found: DataFrame) -> DataFrame:
     """``(file_id, ioc_count)`` for every file, zero included."""
     counts = found.groupBy("file_id").agg(F.count("*").alias("ioc_count"))

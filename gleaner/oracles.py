@@ -214,7 +214,7 @@ def _check(order: str, match: str) -> str:
       QUALIFY row_number() OVER (PARTITION BY ioc_value ORDER BY {order}, ioc_type, source_file_id) = 1
     )
     SELECT request_id, position, ioc, w.ioc_value IS NOT NULL AS found, ioc_type AS type, source_file_id,
-           malware_family, confidence, {_ts('first_seen')}
+           malware_family, CAST(confidence AS VARCHAR) AS confidence, {_ts('first_seen')}
     FROM asked LEFT JOIN winner w ON w.ioc_value = {match}"""
 
 
@@ -322,7 +322,8 @@ ORACLES: dict[str, str] = {
     "ioc_check_bloom": _check("last_seen", "asked.ioc"),
     "file_context": f"WITH {_FOUND}{_REGISTRY_ONLY}{_RUN_ONLY}{_OBJECTS_ONLY} "
                     f"SELECT m.file_id, m.file_path, m.file_size, {_ts('m.last_modified')}, m.ioc_count, "
-                    "coalesce(nullif(m.object_key, ''), m.file_id) AS object_key, content_type, size FROM merged m "
+                    "coalesce(nullif(m.object_key, ''), m.file_id) AS object_key, content_type, "
+                    "CAST(size AS VARCHAR) AS size FROM merged m "
                     "LEFT JOIN objects o ON o.object_key = coalesce(nullif(m.object_key, ''), m.file_id)",
     "ioc_provenance": f"WITH {_FOUND}{_STORE_ONLY}{_REGISTRY_ONLY} SELECT ioc_type, ioc_value, source_file_id, file_path, "
                       "scan_status, confidence FROM current_store JOIN current_registry ON file_id = source_file_id",

@@ -66,17 +66,19 @@ def _store_columns(df: DataFrame) -> DataFrame:
 
 
 def _this_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry rows of a run over the changed files. They are scanned only after the change join."""
-    changed = changed_files(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir))
-    counts = extract.scan(changed, ["file_id"]).groupBy("file_id").agg(F.count("*").alias("ioc_count"))
-    return verdicts(changed, counts, _run_ts())
+    """Registry rows of a run over the changed files.
+
+    The inputs are table rows that hold whole texts. Counting inside the row first leaves narrow rows for the change
+    join, so texts are never shuffled. (A directory tree is listed and joined before it is read: ``run_ingest``.)
+    """
+    counted = extract.with_ioc_count(corpus.files(spark, sf_dir)).drop("content")
+    return verdicts(changed_files(counted, corpus.registry(spark, sf_dir)), _run_ts())
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Objects stored by a first run: the files without indicators."""
-    files = corpus.files(spark, sf_dir)
-    with_values = extract.scan(files, ["file_id"]).select("file_id").distinct()
-    return objects.store_objects(files.join(with_values, "file_id", "left_anti"), _run_ts())
+    plain = extract.with_ioc_count(corpus.files(spark, sf_dir)).filter(F.col("ioc_count") == 0)
+    return objects.store_objects(plain, _run_ts())
 
 
 def _asked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,12 +226,12 @@ def enum_violations(spark, sf_dir):
 
 @query
 def changed_file_list(spark, sf_dir):
-    return changed_files(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
+    return changed_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
 
 
 @query
 def skipped_files(spark, sf_dir):
-    return unchanged_files(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
+    return unchanged_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
 
 
 @query
@@ -252,14 +254,21 @@ def ioc_lookup(spark, sf_dir):
     )
 
 
+def _verdict_columns(df: DataFrame) -> DataFrame:
+    """Confidence as text: a missing one is then the same empty value in every reader."""
+    return df.withColumn("confidence", F.col("confidence").cast("string"))
+
+
 @query
 def ioc_check(spark, sf_dir):
-    return bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir))
+    return _verdict_columns(bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir)))
 
 
 @query
 def ioc_check_latest(spark, sf_dir):
-    return bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir), pick="latest", normalize=True)
+    return _verdict_columns(
+        bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir), pick="latest", normalize=True)
+    )
 
 
 @query
@@ -267,13 +276,14 @@ def ioc_check_bloom(spark, sf_dir):
     store = corpus.ioc_store(spark, sf_dir)
     size = sketch.SketchSize()
     gate = sketch.build(store, "ioc_value", size)
-    return gated_check(corpus.requests(spark, sf_dir), store, gate, size)
+    return _verdict_columns(gated_check(corpus.requests(spark, sf_dir), store, gate, size))
 
 
 @query
 def file_context(spark, sf_dir):
     merged = corpus.registry(spark, sf_dir).unionByName(_this_run(spark, sf_dir))
-    return _as_text(lookup.file_context(merged, _objects(spark, sf_dir), ("content_type", "size")))
+    context = lookup.file_context(merged, _objects(spark, sf_dir), ("content_type", "size"))
+    return _as_text(context.withColumn("size", F.col("size").cast("string")))
 
 
 @query
@@ -319,13 +329,14 @@ def ioc_daily_live(spark, sf_dir):
 
 @query
 def ingest_summary(spark, sf_dir):
-    skipped = unchanged_files(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir))
+    skipped = unchanged_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir))
     return stats.run_summary(_this_run(spark, sf_dir), skipped)
 
 
 @query
 def run_counters(spark, sf_dir):
-    found = extract.scan(changed_files(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir)), ["file_id"])
+    changed = changed_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir))
+    found = corpus.found(spark, sf_dir).join(changed.select("file_id"), "file_id", "left_semi")
     return stats.labelled_counters(_this_run(spark, sf_dir), found)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import file_id
-from gleaner.operators.extract import scan
+from gleaner.operators.extract import scan, spread
 
 BASE_TIME = "2024-01-01 00:00:00"
 
@@ -26,6 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with texts to scan: a small one is spread over all cores first."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _minutes(n: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(F.lit(BASE_TIME).cast("timestamp")) + n * 60)
 
@@ -47,13 +52,13 @@ def _file(path: Column, content: Column, number: Column, state: Column) -> list[
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         *_file(path, F.col("text"), F.col("doc_id"), _state(F.col("lang"), "en", "fr"))
     )
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(
+    docs = texts(spark, sf_dir, "documents").select(
         "doc_id", "lang", "source", "n_chars", F.md5("text").alias("h"), F.sha2("text", 256).alias("g")
     )
     groups = [F.substring("h", 4 * i + 1, 4) for i in range(8)]
@@ -79,13 +84,13 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("pages/"), "page_id", F.lit(".html"))
     content = F.concat("url", F.lit("\n"), "html")
     scheme = F.substring_index("url", ":", 1)
-    return table(spark, sf_dir, "pages").select(*_file(path, content, F.col("page_id"), _state(scheme, "https", "http")))
+    return texts(spark, sf_dir, "pages").select(*_file(path, content, F.col("page_id"), _state(scheme, "https", "http")))
 
 
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("chats/"), "conv_id", F.lit("/"), "turn",
                     F.when(F.col("role") == "assistant", ".md").otherwise(".yaml"))
-    return table(spark, sf_dir, "conversations").select(
+    return texts(spark, sf_dir, "conversations").select(
         *_file(path, F.col("text"), F.col("conv_id"), _state(F.col("role"), "assistant", "system"))
     )
 
