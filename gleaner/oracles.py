@@ -400,4 +400,22 @@ ORACLES: dict[str, str] = {
     "fuzzy_domain": f"{_F}, names AS (SELECT DISTINCT ioc_value AS name FROM ({_PER_TYPE['domain']})) "
                     "SELECT a.name AS left_name, b.name AS right_name, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance "
                     f"FROM names a JOIN names b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= {FUZZY_DISTANCE}",
+    "stream_ingest": f"{_RUN} SELECT file_id, file_path, CASE WHEN coalesce(ioc_count, 0) > 0 THEN 'infected' ELSE 'misc' "
+                     "END AS scan_status, coalesce(ioc_count, 0) AS ioc_count, CASE WHEN coalesce(ioc_count, 0) > 0 "
+                     "THEN '' ELSE file_id END AS object_key FROM files LEFT JOIN counts USING (file_id) "
+                     "WHERE suffix(file_path, '.txt')",
+    "stream_daily": f"{_FD} SELECT ioc_type, strftime(last_modified, '%Y-%m-%d') AS date, count(*) AS count "
+                    "FROM found JOIN files USING (file_id) WHERE starts_with(file_path, 'manifests/') GROUP BY 1, 2",
+    "stream_distinct": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found JOIN files USING (file_id) "
+                       "WHERE suffix(file_path, '.txt')",
+    "stream_rate_limit": _ANCHORED + "SELECT a.key_hash, strftime(to_timestamp(a.second) AT TIME ZONE 'UTC', "
+                         "'%Y-%m-%dT%H:%M:%SZ') AS window_start, CAST(sum(n) AS BIGINT) AS requests "
+                         "FROM anchors a JOIN per_second s ON s.key_hash = a.key_hash AND s.second >= a.second "
+                         f"AND s.second < a.second + {_W} GROUP BY a.key_hash, a.second",
+    "stream_check": f"""{_S}, winner AS (
+        SELECT * FROM current_store QUALIFY row_number() OVER (PARTITION BY ioc_value ORDER BY last_seen, ioc_type, source_file_id) = 1
+      )
+      SELECT f.file_id AS request_id, f.ioc_value AS ioc, w.ioc_value IS NOT NULL AS found, w.ioc_type AS type, w.source_file_id
+      FROM found f JOIN files USING (file_id) LEFT JOIN winner w ON w.ioc_value = f.ioc_value
+      WHERE starts_with(file_path, 'manifests/') AND f.ioc_type IN ('domain', 'sha256')""",
 }

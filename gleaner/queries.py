@@ -20,7 +20,8 @@ from gleaner.plans.ingest import changed_files, new_sightings, unchanged_files,
 from gleaner.schemas import IOC_TABLE, KEY_TABLE, REGISTRY_TABLE, SCAN_STATUSES
 from gleaner.session import apply_settings, shared_folder
 from gleaner.sources import corpus
-from gleaner.sources.tables import ioc_table
+from gleaner.sources.tables import ioc_table, registry_table
+from gleaner.streaming import jobs
 
 RUN_TS = datetime(2024, 6, 1)
 RETENTION_AS_OF = datetime(2024, 2, 15)
@@ -501,3 +502,70 @@ def vector_topk(spark, sf_dir):
 def fuzzy_domain(spark, sf_dir):
     domains = corpus.found(spark, sf_dir, types=["domain"]).select(F.col("ioc_value").alias("name"))
     return fuzzy.similar_pairs(domains, "name", FUZZY_DISTANCE)
+
+
+# --- streams: each runs over the present input to its end ------------------------------------------------------------
+
+
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.document_files(corpus.stream(spark, sf_dir, "documents"))
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    folder = _fresh(spark, "ingest")
+    jobs.ingest_files(_document_stream(spark, sf_dir), folder, f"{folder}/checkpoint", _run_ts).awaitTermination()
+    rows = registry_table(spark, folder).current()
+    return rows.select("file_id", "file_path", "scan_status", "ioc_count", "object_key")
+
+
+@query
+def stream_daily(spark, sf_dir):
+    folder = _fresh(spark, "daily")
+    manifests = corpus.manifest_files(corpus.stream(spark, sf_dir, "documents"))
+    found = extract.scan(manifests, ["file_id", "last_modified"])
+    sightings = found.select("ioc_type", F.col("last_modified").alias("first_seen"))
+    jobs.daily_counts(sightings, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
+    return _daily(jobs.current_daily_counts(spark, f"{folder}/counts"))
+
+
+@query
+def stream_distinct(spark, sf_dir):
+    """Documents scanned line by line: a value that occurs on several lines of a file comes out once."""
+    folder = _fresh(spark, "distinct")
+    lines = _document_stream(spark, sf_dir).select(
+        "file_id", "last_modified", F.explode(F.split("content", "\n")).alias("content")
+    )
+    found = extract.scan(lines, ["file_id", "last_modified"])
+    jobs.distinct_sightings(found, f"{folder}/seen", f"{folder}/checkpoint", "last_modified").awaitTermination()
+    return spark.read.parquet(f"{folder}/seen").select("file_id", "ioc_type", "ioc_value")
+
+
+@query
+def stream_rate_limit(spark, sf_dir):
+    folder = _fresh(spark, "windows")
+    log = corpus.as_query_log(corpus.stream(spark, sf_dir, "events"))
+    jobs.audit_windows(
+        log, "api_key_hash", "timestamp", f"{folder}/windows", f"{folder}/checkpoint", AUDIT_WINDOW_SECONDS
+    ).awaitTermination()
+    windows = jobs.current_windows(spark, f"{folder}/windows")
+    return windows.select(
+        "key_hash", rfc3339(F.timestamp_seconds("window_start")).alias("window_start"), "requests"
+    )
+
+
+@query
+def stream_check(spark, sf_dir):
+    folder = _fresh(spark, "check")
+    manifests = corpus.manifest_files(corpus.stream(spark, sf_dir, "documents"))
+    asked = extract.scan(manifests, ["file_id"], types=["domain", "sha256"]).select(
+        F.col("file_id").alias("request_id"), F.col("ioc_value").alias("ioc")
+    )
+    jobs.check_stream(
+        asked, corpus.ioc_store(spark, sf_dir), f"{folder}/verdicts", f"{folder}/checkpoint"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/verdicts")

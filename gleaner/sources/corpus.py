@@ -13,6 +13,8 @@ Four families of files, each a function of a table's rows:
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,24 @@ from gleaner.operators.extract import scan, spread
 BASE_TIME = "2024-01-01 00:00:00"
 
 
+# Plans, not data: a table's footer is read and its splits are counted once per session.
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=64)
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table with texts to scan: a small one is spread over all cores first."""
     return spread(table(spark, sf_dir, name))
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files."""
+    source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet")
+    return source.parquet(sf_dir)
+
+
 def _minutes(n: Column) -> Column:
     return F.timestamp_seconds(F.unix_seconds(F.lit(BASE_TIME).cast("timestamp")) + n * 60)
 
@@ -50,15 +61,15 @@ def _file(path: Column, content: Column, number: Column, state: Column) -> list[
     ]
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def document_files(documents: DataFrame) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
-    return texts(spark, sf_dir, "documents").select(
+    return documents.select(
         *_file(path, F.col("text"), F.col("doc_id"), _state(F.col("lang"), "en", "fr"))
     )
 
 
-def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts(spark, sf_dir, "documents").select(
+def manifest_files(documents: DataFrame) -> DataFrame:
+    docs = documents.select(
         "doc_id", "lang", "source", "n_chars", F.md5("text").alias("h"), F.sha2("text", 256).alias("g")
     )
     groups = [F.substring("h", 4 * i + 1, 4) for i in range(8)]
@@ -80,28 +91,30 @@ def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(*_file(path, content, F.col("doc_id"), _state(F.col("lang"), "fr", "en")))
 
 
-def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_files(pages: DataFrame) -> DataFrame:
     path = F.concat(F.lit("pages/"), "page_id", F.lit(".html"))
     content = F.concat("url", F.lit("\n"), "html")
     scheme = F.substring_index("url", ":", 1)
-    return texts(spark, sf_dir, "pages").select(*_file(path, content, F.col("page_id"), _state(scheme, "https", "http")))
+    return pages.select(*_file(path, content, F.col("page_id"), _state(scheme, "https", "http")))
 
 
-def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_files(conversations: DataFrame) -> DataFrame:
     path = F.concat(F.lit("chats/"), "conv_id", F.lit("/"), "turn",
                     F.when(F.col("role") == "assistant", ".md").otherwise(".yaml"))
-    return texts(spark, sf_dir, "conversations").select(
+    return conversations.select(
         *_file(path, F.col("text"), F.col("conv_id"), _state(F.col("role"), "assistant", "system"))
     )
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, file_path, file_size, last_modified, content, state)`` over all families."""
-    parts = [f(spark, sf_dir) for f in (document_files, manifest_files, page_files, conversation_files)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    documents = texts(spark, sf_dir, "documents")
+    return (
+        document_files(documents)
+        .unionByName(manifest_files(documents))
+        .unionByName(page_files(texts(spark, sf_dir, "pages")))
+        .unionByName(conversation_files(texts(spark, sf_dir, "conversations")))
+    )
 
 
 def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -192,9 +205,13 @@ def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: one row per event."""
+    return as_query_log(table(spark, sf_dir, "events"))
+
+
+def as_query_log(events: DataFrame) -> DataFrame:
     event = F.col("event_type")
     endpoint = F.when(event == "view", "/context").when(event == "signup", "/stats").otherwise("/check")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").cast("string").alias("query_id"),
         F.col("ts").cast("timestamp").alias("timestamp"),
         F.sha2(F.col("user_id").cast("string"), 256).alias("api_key_hash"),
