@@ -90,10 +90,12 @@ _IPV6_MAPPED = (
     f"(?i)^(?:(?:0{{1,4}}:){{5}}ffff(?::{HEX_GROUP}:{HEX_GROUP}|::|::{HEX_GROUP}|:{HEX_GROUP}::)"
     f"|::(?:0{{1,4}}:){{0,4}}ffff:{HEX_GROUP}:{HEX_GROUP})$"
 )
-# A maximal run of address characters with one '::', for callers that want the whole compressed address.
-_IPV6_RUN = "(?<![0-9A-Za-z_:.])(?=[0-9a-fA-F:]*+::)[0-9a-fA-F:]++(?![0-9A-Za-z_])"
+# A maximal run of address characters with '::', for callers that want the whole compressed address: one '::', at most
+# seven groups.
+_IPV6_RUN = "(?<![\\w:.])(?=[\\p{XDigit}:]*::)[\\p{XDigit}:]++(?!\\w)"
 _IPV6_WHOLE = (
-    f"^(?!.*::.*::)(?!(?:[^:]*:){{8}})(?:{HEX_GROUP}(?::{HEX_GROUP})*+)?::(?:{HEX_GROUP}(?::{HEX_GROUP})*+)?$"
+    f"^(?=.{{2,39}}$)(?!.*::.*::)(?!:*(?:\\p{{XDigit}}+:+){{7}}\\p{{XDigit}})"
+    f"(?:{_HEX}(?::{_HEX})*+)?::(?:{_HEX}(?::{_HEX})*+)?$"
 )
 
 _HASH = f"{_NO_WORD_BEFORE}(?:\\p{{XDigit}}{{64}}|\\p{{XDigit}}{{40}}|\\p{{XDigit}}{{32}}){_NO_WORD_AFTER}"
