@@ -35,6 +35,11 @@ def local_path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
+def decoded_path(uri: Column) -> Column:
+    """``local_path`` of the percent-encoded URI that ``_metadata.file_path`` holds."""
+    return local_path(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def file_id(path: Column) -> Column:
     """A stable id of the path: it does not depend on content or run."""
     return F.sha2(path, 256)

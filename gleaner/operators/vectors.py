@@ -85,11 +85,11 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, query_blocks: int) ->
     vector_blocks = max(1, vectors.count() // 100_000)
     left = queries.select(
         "query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(vector_blocks - 1))).cast("bigint").alias("vb"),
+        F.explode(F.expr(f"sequence(0L, {vector_blocks - 1}L)")).alias("vb"),
     )
     right = vectors.select(
         "id", "vector", F.pmod(F.xxhash64("id"), F.lit(vector_blocks)).alias("vb"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(F.expr(f"sequence(0L, {query_blocks - 1}L)")).alias("qb"),
     )
 
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
