@@ -62,15 +62,19 @@ def scan(
     exclude_private_ips: bool = False,
     exclude_placeholder_domains: bool = False,
     whole_keys: bool = True,
+    mark_keys: bool = False,
     rules: Sequence[PatternRule] = DEFAULT_RULES,
 ) -> DataFrame:
     """Scan ``text`` for all rules in one pass.
 
     ``whole_keys`` says that each key has one row (a whole file per row), so removing duplicates inside the row is
     enough and nothing is shuffled. With one row per line pass ``False``: values are then also made distinct over the
-    rows of a key, with partial aggregation before the shuffle.
+    rows of a key, with partial aggregation before the shuffle. ``mark_keys`` adds a row with empty type and value for
+    every row read, so that keys without indicators are known without reading the texts again.
     """
     reduced, values = _prepared(texts, keys, text, _active(rules, types))
+    if mark_keys:
+        values[""] = F.array(F.lit(""))
     per_type = F.array(
         *(F.struct(F.lit(name).alias("ioc_type"), array.alias("values")) for name, array in values.items())
     )

@@ -39,7 +39,8 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: n
     scores = np.round(queries @ matrix.T, 6)
     out = []
     for q, row in zip(query_ids, scores):
-        order = np.lexsort((ids, -row))[:k]
+        near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if k < len(row) else np.arange(len(row))
+        order = near[np.lexsort((ids[near], -row[near]))[:k]]
         out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": row[order]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
 

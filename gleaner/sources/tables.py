@@ -21,6 +21,9 @@ class StoredTable:
 
     def _write(self, rows: DataFrame, path: str, mode: str) -> None:
         rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.kind.schema))
+        if self.partition_by and mode == "append":
+            # A few well-sized files per partition value instead of one per task; a large value is split.
+            rows = rows.hint("rebalance", *self.partition_by)
         if self.sort_by:
             rows = rows.sortWithinPartitions(*self.partition_by, *self.sort_by)
         writer = rows.write.mode(mode)
