@@ -100,6 +100,16 @@ def with_ioc_count(
     return reduced.select(*files.columns, F.inline(F.array(F.struct(total.alias("ioc_count")))))
 
 
+def with_scan_result(
+    files: DataFrame, text: str = "content", rules: Sequence[PatternRule] = DEFAULT_RULES
+) -> DataFrame:
+    """``files`` (one whole file per row) with ``iocs``: a map from type to its distinct values, empty types left out."""
+    reduced, values = _prepared(files, files.columns, text, rules)
+    by_type = F.map_from_arrays(F.array(*(F.lit(name) for name in values)), F.array(*values.values()))
+    found = F.map_filter(by_type, lambda _, array: F.size(array) > 0)
+    return reduced.select(*files.columns, F.inline(F.array(F.struct(found.alias("iocs")))))
+
+
 def count_per_file(files: DataFrame, found: DataFrame) -> DataFrame:
     """``(file_id, ioc_count)`` for every file, zero included."""
     counts = found.groupBy("file_id").agg(F.count("*").alias("ioc_count"))

@@ -301,16 +301,18 @@ ORACLES: dict[str, str] = {
     "ioc_domain_filtered": f"{_F} SELECT file_id, ioc_value FROM ({_PER_TYPE['domain']}) "
                            f"WHERE ioc_value NOT IN {_list(PLACEHOLDER_DOMAINS)}",
     "ioc_scan_all": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found",
+    "ioc_scan_map": f"{_FD} SELECT f.file_id, coalesce(string_agg(DISTINCT ioc_type, ' ' ORDER BY ioc_type), '') AS types, "
+                    "count(ioc_value) AS ioc_count FROM files f LEFT JOIN found d ON d.file_id = f.file_id GROUP BY 1",
     "ioc_scan_subset": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found WHERE ioc_type IN ('ipv4', 'sha1', 'email')",
     "ioc_count_per_file": f"{_FD} SELECT f.file_id, count(ioc_value) AS ioc_count FROM files f "
                           "LEFT JOIN found d ON d.file_id = f.file_id GROUP BY f.file_id",
     "ioc_rows_enriched": f"{_FD} SELECT ioc_type, ioc_value, file_id AS source_file_id, 'Unknown' AS malware_family, "
                          "50::SMALLINT AS confidence, '2024-06-01T00:00:00Z' AS first_seen, "
                          "'2024-06-01T00:00:00Z' AS last_seen, 0::BIGINT AS hit_count FROM found",
-    "file_content_type": f"{_F} SELECT file_path, {_CONTENT_TYPE} AS content_type FROM files",
+    "content_type": f"{_F} SELECT file_path, {_CONTENT_TYPE} AS content_type FROM files",
     "enum_violations": f"{_F} SELECT file_id, scan_status FROM (SELECT file_id, CASE state WHEN 'new' THEN 'pending' "
                        f"ELSE state END AS scan_status FROM files) WHERE scan_status NOT IN {_list(SCAN_STATUSES)}",
-    "changed_file_list": f"{_RUN} SELECT file_id, file_path FROM changed",
+    "changed_files": f"{_RUN} SELECT file_id, file_path FROM changed",
     "skipped_files": f"{_RUN} SELECT file_id, file_path FROM files WHERE file_id NOT IN (SELECT file_id FROM changed)",
     "file_verdicts": f"{_RUN} SELECT file_id, scan_status, ioc_count, object_key, error_message FROM this_run",
     "check_request_valid": f"{_RQ} SELECT request_id, len(iocs) AS n_iocs, len(iocs) BETWEEN 1 AND 10 AS is_valid, "

@@ -42,7 +42,7 @@ def query(fn: Query) -> Query:
         apply_settings(spark)
         return fn(spark, sf_dir)
 
-    QUERIES[fn.__name__] = run
+    QUERIES[fn.__name__.removeprefix("q_")] = run
     return run
 
 
@@ -193,6 +193,17 @@ def ioc_scan_all(spark, sf_dir):
     return corpus.found(spark, sf_dir)
 
 
+@query
+def ioc_scan_map(spark, sf_dir):
+    """The scan result as one map per file, reported by its types and number of values."""
+    scanned = extract.with_scan_result(corpus.files(spark, sf_dir))
+    return scanned.select(
+        "file_id",
+        F.array_join(F.array_sort(F.map_keys("iocs")), " ").alias("types"),
+        F.size(F.flatten(F.map_values("iocs"))).cast("bigint").alias("ioc_count"),
+    )
+
+
 @query
 def ioc_scan_subset(spark, sf_dir):
     return corpus.found(spark, sf_dir, types=["ipv4", "sha1", "email"])
@@ -200,7 +211,7 @@ def ioc_scan_subset(spark, sf_dir):
 
 @query
 def ioc_count_per_file(spark, sf_dir):
-    return extract.count_per_file(corpus.files(spark, sf_dir), corpus.found(spark, sf_dir))
+    return extract.with_ioc_count(corpus.files(spark, sf_dir)).select("file_id", "ioc_count")
 
 
 @query
@@ -211,7 +222,7 @@ def ioc_rows_enriched(spark, sf_dir):
 
 
 @query
-def file_content_type(spark, sf_dir):
+def q_content_type(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("file_path", content_type(F.col("file_path")).alias("content_type"))
 
 
@@ -226,7 +237,7 @@ def enum_violations(spark, sf_dir):
 
 
 @query
-def changed_file_list(spark, sf_dir):
+def q_changed_files(spark, sf_dir):
     return changed_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import file_id
-from gleaner.operators.extract import scan, spread
+from gleaner.operators.extract import scan, spread, with_scan_result
 
 BASE_TIME = "2024-01-01 00:00:00"
 
@@ -177,26 +177,28 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _values_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_id, v)``: the sorted distinct values of each file, from one pass without a shuffle."""
+    scanned = with_scan_result(files(spark, sf_dir))
+    return scanned.select("file_id", F.array_sort(F.array_distinct(F.flatten(F.map_values("iocs")))).alias("v"))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, iocs)``: per file its values, the same upper-cased, the first one again, and an absent one.
 
     A file without values asks for the absent one only.
     """
-    values = found(spark, sf_dir).groupBy("file_id").agg(F.sort_array(F.collect_set("ioc_value")).alias("v"))
-    asked = files(spark, sf_dir).select("file_id").join(values, "file_id", "left")
-    v = F.coalesce("v", F.array().cast("array<string>"))
-    return asked.select(
+    return _values_per_file(spark, sf_dir).select(
         F.col("file_id").alias("request_id"),
         F.concat(
-            v, F.transform(v, lambda x: F.upper(x)), F.slice(v, 1, 1), F.array(F.concat(F.lit("absent-"), "file_id"))
+            "v", F.transform("v", lambda x: F.upper(x)), F.slice("v", 1, 1), F.array(F.concat(F.lit("absent-"), "file_id"))
         ).alias("iocs"),
     )
 
 
 def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, iocs_queried, iocs_found)``: per file its values were asked for, the first one twice."""
-    values = found(spark, sf_dir).groupBy("file_id").agg(F.sort_array(F.collect_set("ioc_value")).alias("v"))
-    return values.select(
+    return _values_per_file(spark, sf_dir).select(
         F.col("file_id").alias("query_id"),
         F.concat("v", F.slice("v", 1, 1), F.array(F.concat(F.lit("absent-"), "file_id"))).alias("iocs_queried"),
         F.concat("v", F.slice("v", 1, 1)).alias("iocs_found"),
