@@ -24,7 +24,7 @@ from gleaner.operators.extract import scan, spread, with_scan_result
 BASE_TIME = "2024-01-01 00:00:00"
 
 
-# Plans, not data: a table's footer is read and its splits are counted once per session.
+# What is cached here and below are plans, not data: they are built, and footers and splits looked at, once per session.
 @lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -106,6 +106,7 @@ def conversation_files(conversations: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, file_path, file_size, last_modified, content, state)`` over all families."""
     documents = texts(spark, sf_dir, "documents")
@@ -122,6 +123,7 @@ def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return scan(files(spark, sf_dir), ["file_id"], **options)
 
 
+@lru_cache(maxsize=16)
 def ioc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicator rows of an earlier run, all versions: ``known`` files were seen again a day later."""
     seen = scan(files(spark, sf_dir), ["file_id", "last_modified", "state"])
@@ -144,6 +146,7 @@ def ioc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry rows of earlier runs, all versions.
 
@@ -183,6 +186,7 @@ def _values_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("file_id", F.array_sort(F.array_distinct(F.flatten(F.map_values("iocs")))).alias("v"))
 
 
+@lru_cache(maxsize=16)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(request_id, iocs)``: per file its values, the same upper-cased, the first one again, and an absent one.
 
@@ -196,6 +200,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, iocs_queried, iocs_found)``: per file its values were asked for, the first one twice."""
     return _values_per_file(spark, sf_dir).select(
@@ -205,6 +210,7 @@ def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def query_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log: one row per event."""
     return as_query_log(table(spark, sf_dir, "events"))
@@ -225,6 +231,7 @@ def as_query_log(events: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API-key rows, all versions: every event of a user touches the key; an error leaves it inactive."""
     return table(spark, sf_dir, "events").select(
@@ -238,6 +245,7 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=16)
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").cast("string").alias("payload")
