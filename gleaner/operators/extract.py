@@ -110,6 +110,12 @@ def with_scan_result(
     return reduced.select(*files.columns, F.inline(F.array(F.struct(found.alias("iocs")))))
 
 
+def explode_result(scanned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, ioc_type, ioc_value)`` rows of ``with_scan_result``'s map."""
+    by_type = scanned.select(*keys, F.explode("iocs").alias("ioc_type", "values"))
+    return by_type.select(*keys, "ioc_type", F.explode("values").alias("ioc_value"))
+
+
 def count_per_file(files: DataFrame, found: DataFrame) -> DataFrame:
     """``(file_id, ioc_count)`` for every file, zero included."""
     counts = found.groupBy("file_id").agg(F.count("*").alias("ioc_count"))

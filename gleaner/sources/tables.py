@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +39,12 @@ class StoredTable:
 
     def all_versions(self) -> DataFrame:
         """Every row written so far; empty before the first append."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder):
+        try:
+            rows = self.spark.read.schema(self.kind.schema).parquet(self.path)
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
             return self.spark.createDataFrame([], self.kind.schema)
-        rows = self.spark.read.schema(self.kind.schema).parquet(self.path)
         return rows.select(*(f.name for f in self.kind.schema))
 
     def current(self) -> DataFrame:
