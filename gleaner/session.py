@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,16 +34,33 @@ def apply_settings(spark: SparkSession) -> None:
     """Set the run-time settings on a session somebody else made."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever the driver was started. Done once per application."""
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gleaner-")) / "gleaner.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._gleaner_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, as named by the cluster in ``spark.checkpoint.dir``.
 
-    Only a session that names none (tests, one machine) gets a folder of its own.
+    Only a session whose executors are threads of the driver (``local``) may leave it unset: it gets a folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="gleaner-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
