@@ -6,12 +6,15 @@ share one. Extra columns of ``documents`` are carried to the last stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontam, pii, quality, simhash
 from gleaner.llm.common import stored
 from gleaner.llm.queries import packed
+from gleaner.session import ship_package
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +48,21 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(docs)
 
 
+def _shipped(stage):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("benchmark_decontamination", benchmark_decontamination),
-    ("pii", pii_redaction),
-    ("packing", packing),
+    ("quality_rules", _shipped(quality_rules)),
+    ("simhash_near_dedup", _shipped(simhash_near_dedup)),
+    ("benchmark_decontamination", _shipped(benchmark_decontamination)),
+    ("pii", _shipped(pii_redaction)),
+    ("packing", _shipped(packing)),
 ]
 
 #: Hashing, components and tokens are beyond SQL; tests compare with a brute-force version.

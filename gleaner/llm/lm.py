@@ -1,0 +1,140 @@
+"""Language-model scores: how much less a target model is surprised by a text than a background model.
+
+Two n-gram models share one vocabulary, order and smoothing. The background is counted over all documents, the target over
+the good ones. A token is a symbol of a text: letters without case, and classes of all other bytes, 32 in all, so the
+vocabulary is closed, a model of order four is a table of 2^20 entries whatever the corpus, and scoring looks its losses up.
+Tasks count what they read into such tables; counts are summed by n-gram; the driver sees the summed table only.
+
+A document's score is the mean over its tokens of target loss minus background loss, in bits: low means like the target.
+
+Defined results: null and empty texts have no tokens and null losses; without target documents the target model is the
+smoothing alone; equal rows give equal rows; null ids are carried along and are never in the target; empty tables give
+empty tables. Columns other than those named are not read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gleaner.llm.common import as_bytes, byte_view, pieces
+
+ORDER = 4
+SYMBOL_BITS = 5
+#: Weight of the shorter context's distribution, in counts.
+PRIOR = 5.0
+
+
+def _symbols() -> np.ndarray:
+    """Byte to symbol: 0 space, 1-26 letters, 27 digits, 28 marks of prose, 29 other ASCII, 30 and 31 bytes beyond ASCII."""
+    table = np.full(256, 29, np.int32)
+    table[list(b" \t\n\r\x0b\x0c")] = 0
+    for k in range(26):
+        table[[65 + k, 97 + k]] = 1 + k
+    table[48:58] = 27
+    table[list(b".,;:!?'\"()-")] = 28
+    table[128:192] = 30
+    table[192:256] = 31
+    return table
+
+
+SYMBOLS = _symbols()
+
+
+def grams(data: np.ndarray, ends: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """For each byte of texts in a row: the number of the n-gram that ends in it. Texts begin after spaces."""
+    symbols = SYMBOLS[data]
+    out = symbols.copy()
+    begins = ends[:-1][np.diff(ends) > 0]
+    for back in range(1, order):
+        before = np.zeros_like(symbols)
+        before[back:] = symbols[:-back] if len(symbols) > back else 0
+        for k in range(back):
+            at = begins + k
+            before[at[at < len(before)]] = 0
+        out += before << (SYMBOL_BITS * back)
+    return out
+
+
+def counts(docs: DataFrame, order: int = ORDER, text_column: str = "text") -> DataFrame:
+    """``(gram, n)`` over all texts; a task gives at most one row per n-gram of the vocabulary."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << (SYMBOL_BITS * order), np.int64)
+        for batch in pieces(batches, "text"):
+            found = grams(*byte_view(as_bytes(batch.column(0))), order)
+            if len(found):
+                seen, n = np.unique(found, return_counts=True)
+                total[seen] += n
+        held = np.nonzero(total)[0]
+        for at in range(0, len(held), 50_000):
+            part = held[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["gram", "n"])
+
+    partial = docs.select(F.col(text_column).cast("string").alias("text")).mapInArrow(task, "gram int, n bigint")
+    return partial.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def losses(table: np.ndarray, order: int = ORDER, prior: float = PRIOR) -> np.ndarray:
+    """Bits of each n-gram's last symbol after the others: counts mixed with the next shorter context's distribution."""
+    size = 1 << SYMBOL_BITS
+    p = np.full(size, 1 / size)
+    for n in range(1, order + 1):
+        level = table.reshape(-1, size ** n).sum(axis=0).reshape(-1, size).astype(float)
+        shorter = np.tile(p.reshape(-1, size), (len(level) // max(1, p.size // size), 1)) if n > 1 else p[None, :]
+        p = ((level + prior * shorter) / (level.sum(axis=1, keepdims=True) + prior)).reshape(-1)
+    return -np.log2(p).astype(np.float32)
+
+
+@dataclass(frozen=True)
+class Models:
+    target: np.ndarray
+    background: np.ndarray
+    order: int
+
+
+def train(docs: DataFrame, target: DataFrame, order: int = ORDER, prior: float = PRIOR, text_column: str = "text") -> Models:
+    """Both models. The driver gets two columns of at most 32^order rows, whatever the corpus."""
+    background, good = counts(docs, order, text_column), counts(target, order, text_column)
+    both = background.withColumnRenamed("n", "b").join(good.withColumnRenamed("n", "t"), "gram", "full").na.fill(0, ["b", "t"])
+    rows = both.toArrow()
+    tables = np.zeros((2, 1 << (SYMBOL_BITS * order)), np.int64)
+    at = rows.column("gram").to_numpy()
+    tables[0, at], tables[1, at] = rows.column("t").to_numpy(), rows.column("b").to_numpy()
+    return Models(losses(tables[0], order, prior), losses(tables[1], order, prior), order)
+
+
+def score(docs: DataFrame, models: Models, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, target_loss, background_loss, score)``, losses in bits per token."""
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast((models.target, models.background))
+    order = models.order
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, background = shared.value
+        for batch in pieces(batches, "text"):
+            data, ends = byte_view(as_bytes(batch.column(1)))
+            found = grams(data, ends, order)
+            n = np.diff(ends)
+            cells = []
+            for table in (target, background):
+                sums = np.concatenate(([0.0], np.cumsum(table[found], dtype=np.float64)))
+                cells.append(np.divide(sums[ends[1:]] - sums[ends[:-1]], n, out=np.full(len(n), np.nan), where=n > 0))
+            columns = [pa.array(c, from_pandas=True) for c in (cells[0], cells[1], cells[0] - cells[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *columns],
+                                             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    kind = narrow.schema["doc_id"].dataType.simpleString()
+    return narrow.mapInArrow(task, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, score double")
+
+
+def cross_entropy_difference(docs: DataFrame, good_ids: DataFrame, order: int = ORDER, prior: float = PRIOR, id_column: str = "doc_id",
+                             text_column: str = "text") -> DataFrame:
+    """Scores of all documents; the target is those whose id is in ``good_ids (doc_id)``."""
+    narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    target = narrow.join(good_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    return score(narrow, train(narrow, target, order, prior))
