@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontam, lm, packing, pii, quality, simhash, substring, suffix, warc
+from gleaner.llm import decontam, lm, packing, pii, quality, simhash, substring, suffix, toxicity, warc
 from gleaner.llm.common import scratch_path
 from gleaner.session import ship_package
 
@@ -78,6 +78,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
 
 
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 @query
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
