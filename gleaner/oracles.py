@@ -313,6 +313,8 @@ ORACLES: dict[str, str] = {
     "enum_violations": f"{_F} SELECT file_id, scan_status FROM (SELECT file_id, CASE state WHEN 'new' THEN 'pending' "
                        f"ELSE state END AS scan_status FROM files) WHERE scan_status NOT IN {_list(SCAN_STATUSES)}",
     "changed_files": f"{_RUN} SELECT file_id, file_path FROM changed",
+    "failed_files_again": f"{_RUN} SELECT file_id, file_path FROM files WHERE file_id IN (SELECT file_id FROM changed) "
+                          "OR file_size % 5 = 0",
     "skipped_files": f"{_RUN} SELECT file_id, file_path FROM files WHERE file_id NOT IN (SELECT file_id FROM changed)",
     "file_verdicts": f"{_RUN} SELECT file_id, scan_status, ioc_count, object_key, error_message FROM this_run",
     "check_request_valid": f"{_RQ} SELECT request_id, len(iocs) AS n_iocs, len(iocs) BETWEEN 1 AND 10 AS is_valid, "
@@ -404,12 +406,10 @@ ORACLES: dict[str, str] = {
                     f"FROM names a JOIN names b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= {FUZZY_DISTANCE}",
     "stream_ingest": f"{_RUN} SELECT file_id, file_path, CASE WHEN coalesce(ioc_count, 0) > 0 THEN 'infected' ELSE 'misc' "
                      "END AS scan_status, coalesce(ioc_count, 0) AS ioc_count, CASE WHEN coalesce(ioc_count, 0) > 0 "
-                     "THEN '' ELSE file_id END AS object_key FROM files LEFT JOIN counts USING (file_id) "
-                     "WHERE suffix(file_path, '.txt')",
+                     "THEN '' ELSE file_id END AS object_key FROM files LEFT JOIN counts USING (file_id)",
     "stream_daily": f"{_FD} SELECT ioc_type, strftime(last_modified, '%Y-%m-%d') AS date, count(*) AS count "
-                    "FROM found JOIN files USING (file_id) WHERE starts_with(file_path, 'manifests/') GROUP BY 1, 2",
-    "stream_distinct": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found JOIN files USING (file_id) "
-                       "WHERE suffix(file_path, '.txt')",
+                    "FROM found JOIN files USING (file_id) GROUP BY 1, 2",
+    "stream_distinct": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found JOIN files USING (file_id)",
     "stream_rate_limit": _ANCHORED + "SELECT a.key_hash, strftime(to_timestamp(a.second) AT TIME ZONE 'UTC', "
                          "'%Y-%m-%dT%H:%M:%SZ') AS window_start, CAST(sum(n) AS BIGINT) AS requests "
                          "FROM anchors a JOIN per_second s ON s.key_hash = a.key_hash AND s.second >= a.second "
@@ -418,6 +418,5 @@ ORACLES: dict[str, str] = {
         SELECT * FROM current_store QUALIFY row_number() OVER (PARTITION BY ioc_value ORDER BY last_seen, ioc_type, source_file_id) = 1
       )
       SELECT f.file_id AS request_id, f.ioc_value AS ioc, w.ioc_value IS NOT NULL AS found, w.ioc_type AS type, w.source_file_id
-      FROM found f JOIN files USING (file_id) LEFT JOIN winner w ON w.ioc_value = f.ioc_value
-      WHERE starts_with(file_path, 'manifests/') AND f.ioc_type IN ('domain', 'sha256')""",
+      FROM found f LEFT JOIN winner w ON w.ioc_value = f.ioc_value""",
 }

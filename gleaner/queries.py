@@ -100,6 +100,14 @@ def file_identity(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("file_id", "file_path", "file_size", rfc3339(F.col("last_modified")).alias("last_modified"))
 
 
+@query
+def failed_files_again(spark, sf_dir):
+    """Files whose last run failed are changed, also at an equal modification time."""
+    registry = corpus.registry(spark, sf_dir)
+    failed = registry.withColumn("scan_status", F.when(F.col("file_size") % 5 == 0, "failed").otherwise(F.col("scan_status")))
+    return changed_files(corpus.files(spark, sf_dir).drop("content"), failed).select("file_id", "file_path")
+
+
 @query
 def registry_upsert(spark, sf_dir):
     merged = versions.upsert(
@@ -522,14 +530,19 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.document_files(corpus.stream(spark, sf_dir, "documents"))
+def _file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All families of files as one stream."""
+    of = lambda name: corpus.stream(spark, sf_dir, name)
+    return (
+        corpus.document_files(of("documents")).unionByName(corpus.manifest_files(of("documents")))
+        .unionByName(corpus.page_files(of("pages"))).unionByName(corpus.conversation_files(of("conversations")))
+    )
 
 
 @query
 def stream_ingest(spark, sf_dir):
     folder = _fresh(spark, "ingest")
-    jobs.ingest_files(_document_stream(spark, sf_dir), folder, f"{folder}/checkpoint", _run_ts).awaitTermination()
+    jobs.ingest_files(_file_stream(spark, sf_dir), folder, f"{folder}/checkpoint", _run_ts).awaitTermination()
     rows = registry_table(spark, folder).current()
     return rows.select("file_id", "file_path", "scan_status", "ioc_count", "object_key")
 
@@ -537,8 +550,7 @@ def stream_ingest(spark, sf_dir):
 @query
 def stream_daily(spark, sf_dir):
     folder = _fresh(spark, "daily")
-    manifests = corpus.manifest_files(corpus.stream(spark, sf_dir, "documents"))
-    found = extract.scan(manifests, ["file_id", "last_modified"])
+    found = extract.scan(_file_stream(spark, sf_dir), ["file_id", "last_modified"])
     sightings = found.select("ioc_type", F.col("last_modified").alias("first_seen"))
     jobs.daily_counts(sightings, f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
     return _daily(jobs.current_daily_counts(spark, f"{folder}/counts"))
@@ -546,13 +558,13 @@ def stream_daily(spark, sf_dir):
 
 @query
 def stream_distinct(spark, sf_dir):
-    """Documents scanned line by line: a value that occurs on several lines of a file comes out once."""
+    """Files scanned line by line: a value that occurs on several lines of a file comes out once."""
     folder = _fresh(spark, "distinct")
-    lines = _document_stream(spark, sf_dir).select(
+    lines = _file_stream(spark, sf_dir).select(
         "file_id", "last_modified", F.explode(F.split("content", "\n")).alias("content")
     )
     found = extract.scan(lines, ["file_id", "last_modified"])
-    jobs.distinct_sightings(found, f"{folder}/seen", f"{folder}/checkpoint", "last_modified").awaitTermination()
+    jobs.distinct_sightings(found, f"{folder}/seen", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/seen").select("file_id", "ioc_type", "ioc_value")
 
 
@@ -572,8 +584,7 @@ def stream_rate_limit(spark, sf_dir):
 @query
 def stream_check(spark, sf_dir):
     folder = _fresh(spark, "check")
-    manifests = corpus.manifest_files(corpus.stream(spark, sf_dir, "documents"))
-    asked = extract.scan(manifests, ["file_id"], types=["domain", "sha256"]).select(
+    asked = extract.scan(_file_stream(spark, sf_dir), ["file_id"]).select(
         F.col("file_id").alias("request_id"), F.col("ioc_value").alias("ioc")
     )
     jobs.check_stream(
