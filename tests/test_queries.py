@@ -5,6 +5,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as contract
+from gleaner.oracles import ORACLES
+from gleaner.queries import QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -33,10 +35,11 @@ def _rows(frame):
 
 
 def test_every_query_has_a_statement():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, sf_dir, name):
     got = contract.queries()[name](spark, sf_dir).toPandas()
     want = con.execute(contract.oracle_sql()[name]).df()
