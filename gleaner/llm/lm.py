@@ -28,6 +28,8 @@ ORDER = 4
 SYMBOL_BITS = 5
 #: Weight of the shorter context's distribution, in counts.
 PRIOR = 5.0
+#: Target ids up to which every task gets them all; with more, texts are dealt by id.
+BROADCAST_IDS = 1_000_000
 
 
 def _symbols() -> np.ndarray:
@@ -136,5 +138,7 @@ def cross_entropy_difference(docs: DataFrame, good_ids: DataFrame, order: int =
                              text_column: str = "text") -> DataFrame:
     """Scores of all documents; the target is those whose id is in ``good_ids (doc_id)``."""
     narrow = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    target = narrow.join(good_ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    good = good_ids.select("doc_id").filter("doc_id is not null").distinct()
+    few = good.count() <= BROADCAST_IDS
+    target = narrow.join(F.broadcast(good) if few else good, "doc_id", "left_semi")
     return score(narrow, train(narrow, target, order, prior))
