@@ -15,6 +15,7 @@ itself; null ids are carried along; an empty table gives an empty table. Other c
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -30,7 +31,7 @@ LENGTH = 2048
 END_ID = 1
 GROUP_TOKENS = 4 << 20
 #: Distinct pieces of text that a worker remembers the ids of, about 200 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
 #: Bits of a sequence id that count sequences within a partition.
 SEQUENCE_BITS = 40
 
@@ -93,16 +94,17 @@ def _encoder(path: str, split: bool) -> Callable[[list[bytes]], list[bytes]]:
     known: dict[bytes, bytes] = {}
 
     def ids(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if not split:
             return ids([t.decode() for t in texts])
         words = [t.split() for t in texts]
         new = list(set().union(*words).difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        if len(known) + len(new) > REMEMBERED:  # keep what this batch needs
+            kept = {w: known[w] for w in set().union(*words).intersection(known)}
             known.clear()
-            new = list(set().union(*words))
+            known.update(kept)
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
             known.update(zip(part, ids([w.decode() for w in part])))
