@@ -7,8 +7,8 @@ the whole length is reported as an interval. To search a document in the shards
 dealt by the anchor's hash, so a window and its equals are in one shard, whatever the corpus' size.
 
 Of equal documents only the one with the smallest id is searched; the others are removed whole. An anchor with more than
-``HOT`` occurrences would make a shard that no task should hold: its windows are counted one by one in a grouped
-aggregation instead, with partial aggregates before the shuffle.
+``HOT`` occurrences would make a shard that no task should hold: its equal contexts are made one, and windows of what is
+left are counted in a grouped aggregation instead of being searched, with partial aggregates before the shuffle.
 
 Defined results: null and empty texts have no words; documents with a null id lose nothing and make others lose nothing;
 rows that repeat an id are one document to each other; an empty table gives an empty table. Other columns are not read.
@@ -31,7 +31,7 @@ from gleaner.llm.fm_index import FMIndex
 WINDOW = 13
 GRAM = 5
 #: Occurrences of an anchor above which its windows are aggregated, not indexed.
-HOT = 20_000
+HOT = 2_000
 #: Words of a shard, above which it is closed.
 SHARD_WORDS = 1 << 18
 #: Verdicts up to which every task gets them all, in intervals of 16 bytes.
@@ -94,6 +94,32 @@ def _spans(docs: list[int], firsts: list[int], hits: list[np.ndarray], window: i
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int32, np.int32))], names=["doc_id", "first", "end"])
 
 
+def _common_spans(contexts: DataFrame, window: int) -> DataFrame:
+    """``(doc_id, first, end)`` for contexts of common anchors. Equal contexts are one first; then windows are counted."""
+    each = contexts.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("left").alias("left"), F.first("words", ignorenulls=True).alias("words"))
+    each = stored(each, "contexts")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, digests, owners, offsets = [], [], [], []
+            for digest, least, left, text in zip(*(column.to_pylist() for column in batch.columns)):
+                words = text.split(b" ")
+                for offset in range(min(left, len(words) - window) + 1):
+                    keys.append(xxhash.xxh3_128_digest(b" ".join(words[offset:offset + window])))
+                    digests.append(digest), owners.append(least), offsets.append(offset)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), pa.array(owners, pa.int64()), pa.array(offsets, pa.int32())],
+                                             names=["w", "digest", "least", "offset"])
+
+    windows = each.mapInArrow(task, "w binary, digest binary, least bigint, offset int")
+    twice = windows.groupBy("w").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("w", "low")
+    earlier = windows.join(twice, "w").filter("low < least").groupBy("digest").agg(F.collect_list("offset").alias("offsets"))
+    known = each.select("digest", "least", (F.size(F.split(F.col("words").cast("string"), " ")) - window).alias("room")).join(earlier, "digest", "left")
+    members = contexts.select("digest", "doc_id", "first", "left").join(known, "digest")
+    whole = F.array(F.struct(F.col("first").alias("first"), (F.col("first") + F.least("left", "room") + window).alias("end")))
+    some = F.transform("offsets", lambda o: F.struct((F.col("first") + o).alias("first"), (F.col("first") + o + window).alias("end")))
+    return members.select("doc_id", F.inline(F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some)))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard_words: int = SHARD_WORDS) -> DataFrame:
     """``(doc_id, class, spans)`` of documents that lose words; spans is null if the whole document equals an earlier one.
 
@@ -115,21 +141,33 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
     wanted = classes.join(places, "tag").select(F.col("least").alias("doc_id"), "class", "places")
     texts = known.join(wanted, ["doc_id", "class"]).select("doc_id", "text", "places")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            out = ([], [], [], [], [], [])
-            for doc, text, places in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
-                words = text.split()
-                hashes = dict(zip(*reversed([x.tolist() for x in _word_anchors(words, window, gram)])))
-                for place in places:
-                    if (at := place["at"]) in hashes:
+    def contexts(hot_ones: bool):
+        """Contexts of common anchors, or of the others. Words of a common context leave a task once."""
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            for batch in pieces(batches, "text"):
+                out: tuple[list, ...] = tuple([] for _ in kinds)
+                for doc, text, places in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist(), batch.column(2).to_pylist()):
+                    ats = sorted(p["at"] for p in places if p["hot"] == hot_ones)
+                    if not ats:
+                        continue
+                    words = text.split()
+                    grams, found = _word_anchors(words, window, gram)
+                    chosen = np.isin(found, ats)
+                    for h, at in zip(grams[chosen].view(np.int64).tolist(), found[chosen].tolist()):
                         first = max(0, at - side)
-                        for column, value in zip(out, (hashes[at] - (1 << 64) if hashes[at] >= 1 << 63 else hashes[at], doc, first, at - first, b" ".join(words[first:at + window]), place["hot"])):
+                        content = b" ".join(words[first:at + window])
+                        digest = xxhash.xxh3_128_digest(b"%d " % (at - first) + content) if hot_ones else None
+                        for column, value in zip(out, (h, doc, first, at - first, None if digest in seen else content, digest)):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_())
-            for start in range(0, len(out[0]), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[start:start + 20_000], k) for c, k in zip(out, kinds)],
-                                                 names=["h", "doc_id", "first", "left", "words", "hot"])
+                        if hot_ones:
+                            seen.add(digest)
+                for start in range(0, len(out[0]), 20_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c[start:start + 20_000], k) for c, k in zip(out, kinds)],
+                                                     names=["h", "doc_id", "first", "left", "words", "digest"])
+
+        return task
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -152,26 +190,12 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
         if held:
             yield from close()
 
-    found = texts.mapInArrow(contexts, "h bigint, doc_id bigint, first int, left int, words binary, hot boolean")
-    cold = found.filter("not hot").select("h", "doc_id", "first", "left", "words").repartition("h").sortWithinPartitions("h")
+    columns = "h bigint, doc_id bigint, first int, left int, words binary, digest binary"
+    cold = texts.mapInArrow(contexts(False), columns).drop("digest").repartition("h").sortWithinPartitions("h")
     spans = cold.mapInArrow(search, "doc_id bigint, first int, end int")
-
     if any_hot:
-        def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, docs_, firsts = [], [], []
-                for doc, first, left, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4))):
-                    words = text.split(b" ")
-                    for start in range(min(left, len(words) - window) + 1):
-                        keys.append(xxhash.xxh3_128_digest(b" ".join(words[start:start + window])))
-                        docs_.append(doc), firsts.append(first + start)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs_, pa.int64()), pa.array(firsts, pa.int32())],
-                                                 names=["w", "doc_id", "first"])
-
-        each = found.filter("hot").mapInArrow(windows, "w binary, doc_id bigint, first int")
-        least = each.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-        again = each.join(least, "w").filter("doc_id > least").select("doc_id", "first", (F.col("first") + window).alias("end"))
-        spans = spans.union(again)
+        common = texts.filter(F.exists("places", lambda p: p["hot"])).mapInArrow(contexts(True), columns)
+        spans = spans.union(_common_spans(stored(common, "common"), window))
 
     partial = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     partial = classes.join(partial, F.col("least") == F.col("doc_id")).select("doc_id", "class", "spans")
