@@ -5,8 +5,8 @@ So that equal strings are in one shard, a shard is made of *contexts*: around ea
 than once, the bytes of all strings that hold it, dealt by the anchor's hash. Equal contexts are one text with two places;
 equal documents are one document with two places, of which every byte goes.
 
-An anchor with more than ``HOT`` different contexts would make a shard that no task should hold: its strings are counted one
-by one in a grouped aggregation instead, with partial aggregates before the shuffle.
+An anchor that stands in more than ``HOT`` places would make a shard that no task should hold. Its contexts are cut first to
+what they have in common with any other one (``_common_spans``), by two sorts that are spread over all tasks.
 
 Defined results: null counts as empty; texts shorter than the length lose nothing; rows count by their text alone, so ids
 may be null or repeat, and equal rows are two places; an empty table gives an empty table. Other columns are not read.
@@ -29,8 +29,8 @@ from gleaner.llm.induced import IN_MEMORY, suffix_array
 LENGTH = 400
 GRAM = 100
 BASE = np.uint64(0x5851F42D4C957F2D)
-#: Different contexts of an anchor above which its strings are aggregated, not sorted.
-HOT = 10_000
+#: Places of an anchor above which its contexts are cut to what is common before they are sorted.
+HOT = 2_000
 #: Bytes of a shard, above which it is closed.
 SHARD_BYTES = 6 << 20
 BROADCAST_SPANS = 1_000_000
@@ -103,6 +103,133 @@ def sort_shard(contexts: list[bytes], origin: np.ndarray, place: np.ndarray, twi
 
 
 SPANS = "array<struct<first:int,end:int>>"
+CONTEXT = "h bigint, digest binary, class binary, first int, left int, copied boolean, content binary"
+
+
+def _digest(content: bytes, left: int) -> bytes:
+    return xxhash.xxh3_128_digest(content + left.to_bytes(4, "little"))
+
+
+def _search(length: int, shard_bytes: int, in_memory: int):
+    """Task over contexts in order of (h, digest), a content among equal ones first: ``(digest, class, first, end)``."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: list[list[tuple[bytes, int]]] = []  # of each context held: where it begins
+        digests: list[bytes] = []
+        contents: list[bytes] = []
+        copied: list[bool] = []
+        size, last = 0, None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            number: dict[bytes, int] = {}
+            origin = np.fromiter((number.setdefault(p[0][0], len(number)) for p in places), np.int64, len(places))
+            place = np.fromiter((p[0][1] for p in places), np.int64, len(places))
+            twice = np.fromiter((c or len(set(p)) > 1 for c, p in zip(copied, places)), bool, len(places))
+            out: tuple[list, ...] = ([], [], [], [])
+            for digest, held, (a, b) in zip(digests, places, sort_shard(contents, origin, place, twice, length, in_memory)):
+                for key, first in set(held) if len(a) else ():
+                    for start, end in zip(a.tolist(), b.tolist()):
+                        for column, value in zip(out, (digest, key, first + start, first + end)):
+                            column.append(value)
+            for held in (places, digests, contents, copied):
+                held.clear()
+            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+            for at in range(0, len(out[0]), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at:at + 20_000], k) for c, k in zip(out, kinds)], names=["digest", "class", "first", "end"])
+
+        for batch in batches:
+            for h, digest, key, first, _, copy, content in zip(*(column.to_pylist() for column in batch.columns)):
+                if h != last and size >= shard_bytes:
+                    yield from close()
+                    size = 0
+                if h != last or not digests or digest != digests[-1]:
+                    digests.append(digest), contents.append(content), copied.append(copy), places.append([])
+                    size += len(content) + 1
+                last = h
+                places[-1].append((key, first))
+                copied[-1] |= copy
+        if digests:
+            yield from close()
+
+    return task
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(digest, common)`` of rows ``(h, digest, part)`` in order of (h, part): bytes in common with a neighbour of the same h.
+
+    Rows at the edge of a range may have neighbours elsewhere and count as wholly common.
+    """
+    def shared(a: bytes, b: bytes) -> int:
+        n = min(len(a), len(b))
+        if a[:n] == b[:n]:
+            return n
+        return int(np.argmax(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)))
+
+    held: tuple | None = None  # h, digest, part, common with the row before
+    for batch in batches:
+        out: list[tuple[bytes, int]] = []
+        for h, digest, part in zip(*(column.to_pylist() for column in batch.columns)):
+            if held is None:
+                held = (h, digest, part, len(part))
+                continue
+            common = shared(held[2], part) if held[0] == h else 0
+            out.append((held[1], max(held[3], common)))
+            held = (h, digest, part, common)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], pa.binary()), pa.array([n for _, n in out], pa.int32())], names=["digest", "common"])
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.binary()), pa.array([len(held[2])], pa.int32())], names=["digest", "common"])
+
+
+def _common_spans(rows: DataFrame, search, length: int) -> DataFrame:
+    """Spans from contexts of common anchors.
+
+    Equal contexts are made one. What follows the anchor's begin is then sorted, over all tasks, and what goes before it read
+    backwards likewise: neighbours in such an order tell how far a context has its bytes in common with any other one. Cut to
+    that, most contexts of a common passage are equal, or too short to hold a string; the few others are searched.
+    """
+    each = rows.groupBy("h", "digest").agg(F.min(F.xxhash64("class", "first")).alias("low"), F.max(F.xxhash64("class", "first")).alias("high"),
+                                           F.max("copied").alias("copied"), F.first("left").alias("left"), F.first("class").alias("class"),
+                                           F.first("first").alias("first"), F.first("content", ignorenulls=True).alias("content"))
+    each = stored(each.withColumn("copied", F.col("copied") | (F.col("low") != F.col("high"))).drop("low", "high"), "contexts")
+
+    def sides(forward: bool):
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [c[left:] if forward else c[:left][::-1] for left, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["h", "digest", "part"])
+
+        parts = each.select("h", "digest", "left", "content").mapInArrow(task, "h bigint, digest binary, part binary")
+        return parts.repartitionByRange("h", "part").sortWithinPartitions("h", "part").mapInArrow(_neighbours, "digest binary, common int")
+
+    after = sides(True).withColumnRenamed("common", "after")
+    before = sides(False).withColumnRenamed("common", "before")
+    whole = F.col("copied")
+    bounds = each.join(after, "digest").join(before, "digest").select(
+        "h", "digest", "class", "first", "left", "copied", "content", F.when(whole, 0).otherwise(F.col("left") - F.col("before")).alias("start"),
+        F.when(whole, F.octet_length("content")).otherwise(F.col("left") + F.col("after")).alias("stop"))
+    bounds = bounds.filter(F.col("stop") - F.col("start") >= length)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, digest, key, first, left, copied, content, start, stop = (column.to_pylist() for column in batch.columns)
+            parts = [c[a:b] for c, a, b in zip(content, start, stop)]
+            begin = [x - a for x, a in zip(left, start)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(p, x) for p, x in zip(parts, begin)], pa.binary()), batch.column(2), pa.array([x + a for x, a in zip(first, start)], pa.int32()),
+                 pa.array(begin, pa.int32()), batch.column(5), pa.array(parts, pa.binary()), batch.column(1), pa.array(start, pa.int32())],
+                names=["h", "digest", "class", "first", "left", "copied", "content", "of", "start"])
+
+    short = stored(bounds.mapInArrow(cut, CONTEXT + ", of binary, start int"), "cut")
+    # Of equal cut contexts at most two places are kept: one place, or several.
+    few = short.groupBy("h", "digest").agg(F.min(F.xxhash64("class", "first")).alias("low"), F.max(F.xxhash64("class", "first")).alias("high"), F.max("copied").alias("copied"),
+                                           F.first("class").alias("class"), F.first("first").alias("first"), F.first("left").alias("left"), F.first("content").alias("content"))
+    few = few.select("h", "digest", "class", "first", "left", (F.col("copied") | (F.col("low") != F.col("high"))).alias("copied"), "content")
+    found = few.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(search, "digest binary, class binary, first int, end int")
+    relative = found.join(few.select("digest", F.col("first").alias("begin")), "digest").select(
+        "digest", (F.col("first") - F.col("begin")).alias("a"), (F.col("end") - F.col("begin")).alias("b"))
+    shifted = relative.join(short.select("digest", "of", "start"), "digest").select(
+        F.col("of").alias("digest"), (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
+    return rows.select("digest", "class", "first").join(shifted, "digest").select("class", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("end"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES,
@@ -118,90 +245,51 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     def finder(text: bytes) -> tuple[np.ndarray, np.ndarray]:
         return _byte_anchors(text, length, gram)
 
-    shared = shared_anchors(docs, finder, True)
-    places = shared.groupBy("tag").agg(F.collect_set("at").alias("places"))
+    shared = stored(shared_anchors(docs.select("tag", "text"), finder, True), "anchors")
+    often = stored(shared.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("h", F.lit(True).alias("hot")), "hot")
+    any_hot = not often.isEmpty()
+    marked = shared.join(often, "h", "left") if any_hot else shared.withColumn("hot", F.lit(None).cast("boolean"))
+    places = marked.groupBy("tag").agg(F.collect_set(F.struct("at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("places"))
     wanted = classes.join(places, "tag").select(F.col("least").alias("of"), F.col("class").alias("in"), "copied", "places")
     texts = docs.join(wanted, (F.col("class") == F.col("in")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("class", "text", "places", "copied")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        names = ["h", "class", "first", "left", "digest", "content", "copied"]
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.bool_())
-        for batch in pieces(batches, "text"):
-            out: tuple[list, ...] = tuple([] for _ in names)
-            for key, text, places, copied in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                hashes, ats = _byte_anchors(text, length, gram)
-                chosen = np.isin(ats, places)
-                for h, at in zip(hashes[chosen].view(np.int64).tolist(), ats[chosen].tolist()):
-                    first = max(0, at - side)
-                    content = text[first:at + length]
-                    digest = xxhash.xxh3_128_digest(content + (at - first).to_bytes(4, "little"))
-                    new = digest not in seen
-                    seen.add(digest)
-                    for column, value in zip(out, (h, key, first, at - first, digest, content if new else None, copied)):
-                        column.append(value)
-                if len(out[0]) >= 4000:
+    def contexts(hot_ones: bool):
+        """Contexts of common anchors, or of the others. The bytes of a context leave a task once."""
+        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            names = ["h", "digest", "class", "first", "left", "copied", "content"]
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+            for batch in pieces(batches, "text"):
+                out: tuple[list, ...] = tuple([] for _ in names)
+                for key, text, places, copied in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    wanted_at = sorted(p["at"] for p in places if p["hot"] == hot_ones)
+                    if not wanted_at:
+                        continue
+                    hashes, ats = _byte_anchors(text, length, gram)
+                    chosen = np.isin(ats, wanted_at)
+                    for h, at in zip(hashes[chosen].view(np.int64).tolist(), ats[chosen].tolist()):
+                        first = max(0, at - side)
+                        content = text[first:at + length]
+                        digest = _digest(content, at - first)
+                        new = digest not in seen
+                        seen.add(digest)
+                        for column, value in zip(out, (h, digest, key, first, at - first, copied, content if new else None)):
+                            column.append(value)
+                    if len(out[0]) >= 4000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                        out = tuple([] for _ in names)
+                if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-                    out = tuple([] for _ in names)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
-
-    rows = texts.mapInArrow(contexts, "h bigint, class binary, first int, left int, digest binary, content binary, copied boolean")
-    rows = stored(rows, "contexts")
-    begin = F.struct("class", "first")
-    distinct = rows.groupBy("h", "digest").agg(
-        F.min(begin).alias("low"), (F.max("copied") | (F.min(begin) != F.max(begin))).alias("twice"), F.first("content", ignorenulls=True).alias("content"))
-    counted = stored(rows.groupBy("h").agg(F.approx_count_distinct("digest").alias("n")).filter(F.col("n") > 0.9 * hot).select("h"), "hot")
-    any_hot = not counted.isEmpty()
-    cold = distinct.join(counted, "h", "left_anti") if any_hot else distinct
-    cold = cold.select("h", "digest", F.col("low.class").alias("class"), F.col("low.first").alias("first"), "twice", "content").repartition("h").sortWithinPartitions("h")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, last = 0, None
 
-        def close() -> Iterator[pa.RecordBatch]:
-            digests, keys, firsts, twice, contents = zip(*held)
-            origin = np.unique(np.array(keys, dtype=object), return_inverse=True)[1]
-            found = sort_shard(list(contents), origin, np.array(firsts, np.int64), np.array(twice, bool), length, in_memory)
-            rows = [(d, [{"first": int(x), "end": int(y)} for x, y in zip(a, b)]) for d, (a, b) in zip(digests, found) if len(a)]
-            held.clear()
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], names=["digest", "parts"])
-
-        for batch in batches:
-            for h, *row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-                if h != last and size >= shard_bytes:
-                    yield from close()
-                    size = 0
-                last = h
-                held.append(tuple(row))
-                size += len(row[-1]) + 1
-        if held:
-            yield from close()
-
-    parts = cold.mapInArrow(search, f"digest binary, parts {SPANS}")
-    members = rows.select("class", F.col("first").alias("begin"), "digest").join(parts, "digest")
-    spans = members.select("class", F.explode(F.transform("parts", lambda p: F.struct((F.col("begin") + p["first"]).alias("first"), (F.col("begin") + p["end"]).alias("end")))).alias("span"))
+        return task
 
+    search = _search(length, shard_bytes, in_memory)
+    cold = texts.mapInArrow(contexts(False), CONTEXT).repartition("h").sortWithinPartitions("h", "digest", F.col("content").isNull())
+    spans = cold.mapInArrow(search, "digest binary, class binary, first int, end int").drop("digest")
     if any_hot:
-        def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for key, first, twice, content in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                    n = len(content) - length + 1
-                    digests = [xxhash.xxh3_128_digest(content[k:k + length]) for k in range(n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([key] * n, pa.binary()), pa.array(range(first, first + n), pa.int32()), pa.array([twice] * n)],
-                                                     names=["s", "class", "first", "twice"])
-
-        hot_rows = rows.join(counted, "h", "left_semi")
-        whole = distinct.join(counted, "h", "left_semi").select("digest", "twice", "content")
-        each = hot_rows.select("class", "first", "digest").join(whole, "digest").select("class", "first", "twice", "content")
-        each = each.mapInArrow(strings, "s binary, class binary, first int, twice boolean")
-        where = F.struct("class", "first")
-        many = each.groupBy("s").agg((F.max("twice") | (F.min(where) != F.max(where))).alias("more")).filter("more").select("s")
-        spans = spans.union(each.join(many, "s").select("class", F.struct("first", (F.col("first") + length).alias("end")).alias("span")))
-
-    partial = spans.groupBy("class").agg(F.collect_set("span").alias("spans"))
+        common = texts.filter(F.exists("places", lambda p: p["hot"])).mapInArrow(contexts(True), CONTEXT)
+        spans = spans.union(_common_spans(stored(common, "common"), search, length))
+    partial = spans.groupBy("class").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     partial = partial.join(classes.filter("not copied"), "class").select("class", F.col("spans").cast(SPANS).alias("spans"))
     return partial.union(classes.filter("copied").select("class", F.lit(None).cast(SPANS)))
 
