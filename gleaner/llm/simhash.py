@@ -32,6 +32,8 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 BLOCK = 4096
+#: Numbers of rows that go, up to which every task gets them all: 8 bytes each.
+BROADCAST_ROWS = 2_000_000
 #: Shingles whose bits are counted at once.
 STEP = 1 << 14
 
@@ -188,13 +190,20 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SH
 
 def one_of_each(docs: DataFrame, max_bits: int = MAX_BITS, shingle: int = SHINGLE, seed: int = SEED, block: int = BLOCK,
                 id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component one row with its smallest id stays."""
-    fp, root, least = "__fp", "__root", "__least"
-    prints = stored(fingerprints(docs, text_column, shingle, seed, fp), "fingerprints")
-    found = _components(prints.select(F.col(id_column).alias("doc_id"), F.col(fp).alias("fp")), max_bits, block)
-    named = found.select(F.col("fp").alias(fp), F.col("root").alias(root), F.col("component_id").alias(least))
-    first = prints.join(named, fp).filter(F.col(f"`{id_column}`").eqNullSafe(F.col(least)))
-    return first.dropDuplicates([root]).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The rows of ``docs`` without near duplicates: of each component one row with its smallest id stays (null is last).
+
+    Rows are numbered when they are stored with their fingerprints, so who goes is found out from numbers alone. Texts are
+    met with these numbers where they lie, unless there are too many to send.
+    """
+    fp, row = "__fp", "__row"
+    prints = stored(fingerprints(docs, text_column, shingle, seed, fp).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    narrow = prints.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    placed = narrow.join(_components(narrow.select("doc_id", "fp"), max_bits, block).select("fp", "root"), "fp")
+    first = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("n"))
+    gone = placed.join(first.filter("n > 1").select("root", F.col("first.row").alias("stays")), "root").filter("row <> stays")
+    gone = stored(gone.select(F.col("row").alias(row)), "near-duplicates")
+    few = gone.count() <= BROADCAST_ROWS
+    return prints.join(F.broadcast(gone) if few else gone, row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hex_digits(fp: str) -> Column:
