@@ -16,6 +16,9 @@ from gleaner.llm.common import stored
 from gleaner.llm.queries import packed
 from gleaner.session import ship_package
 
+#: Texts with benchmark items up to which every task gets their digests: 64 bytes each.
+BROADCAST_LEAKS = 200_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the standard policy keeps."""
@@ -33,8 +36,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     key = "__text_sha256"
     keyed = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256))
     found = decontam.contained_items(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id=key)
-    leaks = found.select(F.col("doc_id").alias(key)).distinct()
-    return keyed.join(leaks, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    leaks = stored(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    few = leaks.count() <= BROADCAST_LEAKS
+    return keyed.join(F.broadcast(leaks) if few else leaks, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
