@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontam, lm, packing, pii, quality, simhash, substring, suffix, toxicity, warc
+from gleaner.llm import decontam, packing, pii, quality, simhash, substring, suffix, toxicity, warc, word_lm
 from gleaner.llm.common import scratch_path
 from gleaner.session import ship_package
 
@@ -75,7 +75,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = _table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0")
-    return lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
+    return word_lm.cross_entropy_difference(_table(spark, sf_dir, "documents"), good)
 
 
 @query
