@@ -1,16 +1,18 @@
 """Toxicity by compression distance: which of two dictionaries, of toxic or of ordinary text, shortens a window more.
 
 A window is a word without case and outer marks. Both dictionaries are Zstandard dictionaries of raw content, trained on the
-labelled documents that are not held out: the toxic one holds, most telling last, the words that toxic documents have
-significantly more often (log-likelihood ratio over document counts), the ordinary one the most common words of the others.
+labelled documents that are not held out: the toxic one holds, most telling last, every word that toxic documents have
+significantly (log-likelihood ratio over document counts) and markedly (odds ratio) more often, the ordinary one the most
+common words of the others, in proportion. The odds ratio does not change with the number of documents: on more of them,
+words that are only a little more frequent in toxic ones become significant, but are not taken.
 A window is compressed with each, before a fixed tail that both dictionaries hold (Zstandard does not search the last bytes
 of an input). What counts is the *cell* of a window: by how much the toxic dictionary is better, what is left of the window
 then, and its length.
 
 Two thirds of the training documents make the dictionaries, one third calibrates: how much more often toxic documents have a
 window of a cell gives the cell's log ratio, the two largest of a document add up, and a logistic curve turns the sum into
-the score. All of it is counted by Spark over all training rows; the driver gets the words that fit the dictionaries (at most
-``TOXIC_BYTES`` and ``ORDINARY_BYTES``), a count per cell, and a count per step of the sum.
+the score. All of it is counted by Spark over all training rows; the driver gets the telling words and ``ORDINARY_SHARE``
+times as many bytes of ordinary ones, a count per cell, and a count per step of the sum.
 
 Defined results: null and empty texts have no windows and get the score of a document without telling ones; without labels
 of both kinds all scores are the share of toxic labels, or 0; rows that repeat an id are scored each for itself; a null id is
@@ -32,10 +34,13 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import as_bytes, pieces, stored
 
-TOXIC_BYTES = 2048
+#: Bytes of the ordinary dictionary: at least so many, and so many for each byte of the toxic one.
 ORDINARY_BYTES = 16384
+ORDINARY_SHARE = 8
 #: Log-likelihood ratio that a word must reach: chance alone gives that once in about two million words.
 SIGNIFICANT = 25.0
+#: Odds ratio that a word must reach, half a document added to each count.
+MARKED = 10.0
 THRESHOLD = 0.3
 MARKS = ".,;:!?\"'()#*$%&|<>[]{}"
 TAIL = b"<<0123456789abcdefghijklmnopqrstuv>>"
@@ -50,7 +55,7 @@ BROADCAST_LABELS = 500_000
 @lru_cache(maxsize=4)
 def _compressor(content: bytes):
     params = zstandard.ZstdCompressionParameters.from_level(
-        6, source_size=128, dict_size=1 << 16, min_match=3, strategy=zstandard.STRATEGY_LAZY,
+        6, source_size=128, dict_size=max(1 << 16, len(content)), min_match=3, strategy=zstandard.STRATEGY_LAZY,
         write_content_size=False, write_checksum=False, write_dict_id=False)
     pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
     nothing = len(pack.compress(TAIL))
@@ -133,12 +138,12 @@ def _document_counts(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("toxic") == 1, n).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(n)).alias("o"))
 
 
-def _content(words: list[str], limit: int) -> bytes:
-    """Words of a dictionary, the first ones nearest to its end."""
+def _content(words: list[str], limit: int | None = None) -> bytes:
+    """Words of a dictionary, the first ones nearest to its end, up to ``limit`` bytes if there is one."""
     out, size = [], 0
     for word in words:
         size += len(b := f" {word}".encode())
-        if size > limit:
+        if limit is not None and size > limit:
             break
         out.append(b)
     return b"".join(reversed(out)) + b" "
@@ -150,9 +155,12 @@ def _dictionaries(rows: DataFrame, n_toxic: int, n_other: int) -> tuple[bytes, b
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(t, (t + o) * n_toxic / n) + part(o, (t + o) * n_other / n))
     more = t * n_other > o * n_toxic
-    telling = counts.filter(more & (ratio > SIGNIFICANT)).orderBy(F.desc("t"), "word").limit(TOXIC_BYTES // SHORTEST).collect()
-    common = counts.filter(~more & (o >= 3)).orderBy(F.desc("o"), "word").limit(ORDINARY_BYTES // SHORTEST).collect()
-    return _content([r.word for r in telling], TOXIC_BYTES), _content([r.word for r in common], ORDINARY_BYTES)
+    odds = (t + 0.5) * (n_other - o + 0.5) / ((n_toxic - t + 0.5) * (o + 0.5))
+    telling = counts.filter(more & (ratio > SIGNIFICANT) & (odds >= MARKED)).orderBy(F.desc(ratio), "word").collect()
+    toxic = _content([r.word for r in telling])
+    room = max(ORDINARY_BYTES, ORDINARY_SHARE * len(toxic))
+    common = counts.filter(~more & (o >= 3)).orderBy(F.desc("o"), "word").limit(room // SHORTEST).collect()
+    return toxic, _content([r.word for r in common], room)
 
 
 def _cell_counts(rows: DataFrame, model: Model) -> dict[tuple[int, int, int], tuple[int, int]]:
