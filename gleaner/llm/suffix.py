@@ -180,12 +180,36 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([held[1]], pa.binary()), pa.array([len(held[2])], pa.int32())], names=["digest", "common"])
 
 
-def _common_spans(rows: DataFrame, search, length: int) -> DataFrame:
+def _window_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """``(digest, a, b)`` of different contexts, however many an anchor has: their strings are counted by digest, over all tasks."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["digest", "a", "w", "place", "copied"], (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.bool_())
+        for batch in batches:
+            out: tuple[list, ...] = tuple([] for _ in names)
+            for digest, key, first, copied, content in zip(*(column.to_pylist() for column in batch.columns)):
+                for a in range(len(content) - length + 1):
+                    place = xxhash.xxh3_64_intdigest(key + (first + a).to_bytes(4, "little")) - (1 << 63)
+                    for column, value in zip(out, (digest, a, xxhash.xxh3_128_digest(content[a:a + length]), place, copied)):
+                        column.append(value)
+                if len(out[0]) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                    out = tuple([] for _ in names)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
+    windows = contexts.select("digest", "class", "first", "copied", "content").mapInArrow(task, "digest binary, a int, w binary, place bigint, copied boolean")
+    counted = windows.groupBy("w").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.max("copied").alias("copied"))
+    repeated = stored(counted.filter(F.col("copied") | (F.col("low") != F.col("high"))).select("w"), "windows")
+    return windows.select("digest", "a", "w").join(repeated, "w").select("digest", "a", (F.col("a") + length).alias("b"))
+
+
+def _common_spans(rows: DataFrame, search, length: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Spans from contexts of common anchors.
 
     Equal contexts are made one. What follows the anchor's begin is then sorted, over all tasks, and what goes before it read
     backwards likewise: neighbours in such an order tell how far a context has its bytes in common with any other one. Cut to
-    that, most contexts of a common passage are equal, or too short to hold a string; the few others are searched.
+    that, most contexts of a common passage are equal, or too short to hold a string; the few others are searched. Where
+    they are more than a shard for one anchor, their strings are counted instead (``_window_spans``).
     """
     each = rows.groupBy("h", "digest").agg(F.min(F.xxhash64("class", "first")).alias("low"), F.max(F.xxhash64("class", "first")).alias("high"),
                                            F.max("copied").alias("copied"), F.first("left").alias("left"), F.first("class").alias("class"),
@@ -224,9 +248,14 @@ def _common_spans(rows: DataFrame, search, length: int) -> DataFrame:
     few = short.groupBy("h", "digest").agg(F.min(F.xxhash64("class", "first")).alias("low"), F.max(F.xxhash64("class", "first")).alias("high"), F.max("copied").alias("copied"),
                                            F.first("class").alias("class"), F.first("first").alias("first"), F.first("left").alias("left"), F.first("content").alias("content"))
     few = few.select("h", "digest", "class", "first", "left", (F.col("copied") | (F.col("low") != F.col("high"))).alias("copied"), "content")
-    found = few.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(search, "digest binary, class binary, first int, end int")
+    few = stored(few, "different")
+    large = stored(few.groupBy("h").agg(F.sum(F.octet_length("content")).alias("bytes")).filter(F.col("bytes") > shard_bytes).select("h"), "large")
+    small = few.join(large, "h", "left_anti")
+    found = small.repartition("h").sortWithinPartitions("h", "digest").mapInArrow(search, "digest binary, class binary, first int, end int")
     relative = found.join(few.select("digest", F.col("first").alias("begin")), "digest").select(
         "digest", (F.col("first") - F.col("begin")).alias("a"), (F.col("end") - F.col("begin")).alias("b"))
+    if not large.isEmpty():
+        relative = relative.union(_window_spans(few.join(large, "h", "left_semi"), length))
     shifted = relative.join(short.select("digest", "of", "start"), "digest").select(
         F.col("of").alias("digest"), (F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b"))
     return rows.select("digest", "class", "first").join(shifted, "digest").select("class", (F.col("first") + F.col("a")).alias("first"), (F.col("first") + F.col("b")).alias("end"))
@@ -288,7 +317,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     spans = cold.mapInArrow(search, "digest binary, class binary, first int, end int").drop("digest")
     if any_hot:
         common = texts.filter(F.exists("places", lambda p: p["hot"])).mapInArrow(contexts(True), CONTEXT)
-        spans = spans.union(_common_spans(stored(common, "common"), search, length))
+        spans = spans.union(_common_spans(stored(common, "common"), search, length, shard_bytes))
     partial = spans.groupBy("class").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     partial = partial.join(classes.filter("not copied"), "class").select("class", F.col("spans").cast(SPANS).alias("spans"))
     return partial.union(classes.filter("copied").select("class", F.lit(None).cast(SPANS)))
