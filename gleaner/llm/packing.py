@@ -5,7 +5,7 @@ shuffled and memory does not grow with the input; a group wastes at most a few h
 a sequence is first cut into full ones; what is left, longest first, goes into the tightest open sequence that has room. A
 segment tree over remaining capacities (0 to the sequence length) finds it.
 
-A text is split at ASCII white space and each distinct piece is encoded once per worker. That is exact for tokenizers that
+A text is split at ASCII white space and a distinct piece is encoded once while a task remembers it. That is exact for tokenizers that
 drop white space and never join what stands on both sides of it, as ``word_bpe_49k.json`` does; for others set ``split=False``.
 
 Defined results: null counts as the empty text, which is the end id alone; rows that repeat an id are packed each for
@@ -30,8 +30,9 @@ from gleaner.llm.common import as_bytes, pieces
 LENGTH = 2048
 END_ID = 1
 GROUP_TOKENS = 4 << 20
-#: Distinct pieces of text that a worker remembers the ids of, about 200 bytes each.
-REMEMBERED = 1_200_000
+#: Bytes of pieces of text and their ids that a task remembers, twice over; ``ENTRY`` bytes go with each.
+REMEMBERED_BYTES = 32 << 20
+ENTRY = 170
 #: Bits of a sequence id that count sequences within a partition.
 SEQUENCE_BITS = 40
 
@@ -84,14 +85,39 @@ def best_fit_decreasing(lengths: list[int], length: int = LENGTH) -> tuple[list[
     return sequences, offsets, n
 
 
+class Remembered:
+    """Ids of pieces met lately, in two generations: when the young one is full, the old one is forgotten. Bounded in bytes, but for one batch."""
+
+    def __init__(self, limit: int = REMEMBERED_BYTES):
+        self.limit, self.size = limit, 0
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def add(self, found: dict[bytes, bytes]) -> None:
+        self.size += sum(map(len, found)) + sum(map(len, found.values())) + ENTRY * len(found)
+        self.young.update(found)
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """Who must be added; the others stay at least until the next call."""
+        if self.size > self.limit:
+            self.old, self.young, self.size = (self.young, {}, 0) if self.size < 2 * self.limit else ({}, {}, 0)
+        absent = words.difference(self.young)
+        self.add({w: self.old[w] for w in absent.intersection(self.old)})
+        return list(absent.difference(self.old))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str, split: bool) -> Callable[[list[bytes]], list[bytes]]:
-    """Texts to their ids as little-endian unsigned 32-bit numbers."""
+def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
+    return Tokenizer.from_file(path)
+
+
+def _encoder(path: str, split: bool) -> Callable[[list[bytes]], list[bytes]]:
+    """Texts to their ids as little-endian unsigned 32-bit numbers. What it remembers goes with it, at the task's end."""
+    tokenizer = _tokenizer(path)
+    remembered = Remembered()
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,15 +126,11 @@ def _encoder(path: str, split: bool) -> Callable[[list[bytes]], list[bytes]]:
         if not split:
             return ids([t.decode() for t in texts])
         words = [t.split() for t in texts]
-        new = list(set().union(*words).difference(known))
-        if len(known) + len(new) > REMEMBERED:  # keep what this batch needs
-            kept = {w: known[w] for w in set().union(*words).intersection(known)}
-            known.clear()
-            known.update(kept)
+        new = remembered.missing(set().union(*words))
         for at in range(0, len(new), 10_000):
             part = new[at:at + 10_000]
-            known.update(zip(part, ids([w.decode() for w in part])))
-        return [b"".join(map(known.__getitem__, w)) for w in words]
+            remembered.add(dict(zip(part, ids([w.decode() for w in part]))))
+        return [b"".join(map(remembered.young.__getitem__, w)) for w in words]
 
     return encode
 

@@ -9,14 +9,16 @@ from gleaner.session import ship_package
 def test_no_task_searches_a_group_larger_than_a_shard(spark):
     ship_package(spark)
     rnd = random.Random(6)
-    length, limit = 40, 5_000
+    length, gram, limit = 40, 8, 5_000
+    side = length - gram
     rows, texts = [], []
     passage = rnd.randbytes(60).hex().encode()
-    for k in range(200):  # edited copies: all differ, and each shares most with the others
-        at = k % 55
-        text = passage[:at] + b"%03d" % k + passage[at + 3:]
+    at = len(passage) // 2  # of the anchor; a context holds every string that holds the anchor, and no other
+    for k in range(200):  # edited copies: most differ, and each shares most with the others
+        edit = rnd.choice([rnd.randrange(at - side, at - 3), rnd.randrange(at + gram, at + length - 3)])
+        text = passage[:edit] + b"%03d" % k + passage[edit + 3:]
         texts.append(text)
-        rows.append((1, suffix._digest(text, 60), b"class%03d" % k, 0, 60, False, text))
+        rows.append((1, suffix._digest(text[at - side:at + length], side), b"class%03d" % k, at - side, side, False, text[at - side:at + length]))
     frame = spark.createDataFrame(rows, suffix.CONTEXT)
     inner = suffix._search(length, limit, 1 << 20)
 
@@ -36,9 +38,10 @@ def test_no_task_searches_a_group_larger_than_a_shard(spark):
     for r in suffix._common_spans(frame, search, length, limit).collect():
         got.setdefault(bytes(r["class"]), set()).update(range(r.first, r.end))
     count = {}
+    around = range(at - side, at + 1)
     for t in texts:
-        for i in range(len(t) - length + 1):
+        for i in around:
             count[t[i:i + length]] = count.get(t[i:i + length], 0) + 1
     for k, t in enumerate(texts):
-        want = {i + j for i in range(len(t) - length + 1) if count[t[i:i + length]] > 1 for j in range(length)}
+        want = {i + j for i in around if count[t[i:i + length]] > 1 for j in range(length)}
         assert got.get(b"class%03d" % k, set()) == want

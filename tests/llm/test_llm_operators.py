@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleaner.llm import decontam, lm, packing, pii, quality, simhash, substring, suffix, toxicity, warc
+from gleaner.llm import decontam, packing, pii, quality, simhash, substring, suffix, toxicity, warc
 from gleaner.llm.components import components
 from gleaner.llm.oracles import ORACLES
 from gleaner.llm.queries import QUERIES
@@ -199,24 +199,6 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0), str(tmp_path / "t")).count() == 0
 
 
-def test_lm(spark, docs, nothing):
-    good = spark.createDataFrame([(9,), (10,), (9,), (None,)], "doc_id bigint")
-    rows = lm.cross_entropy_difference(docs, good).collect()
-    assert len(rows) == docs.count()
-    by = {r.doc_id: r for r in rows}
-    assert by[5].n_tokens == 0 and by[5].score is None and by[9].score < by[13].score
-    models = lm.train(docs, docs.join(good.distinct(), "doc_id", "left_semi"))
-    text = [t for i, t, *_ in _rows() if i == 9][0].encode()
-    found = lm.grams(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-    assert by[9].target_loss == pytest.approx(models.target[found].mean(dtype=float)) and by[9].background_loss == pytest.approx(models.background[found].mean(dtype=float))
-    table = np.zeros(1 << 20, np.int64)
-    for _, t, *_ in _rows():
-        b = (t or "").encode()
-        np.add.at(table, lm.grams(np.frombuffer(b, np.uint8), np.array([0, len(b)])), 1)
-    assert {r.gram: r.n for r in lm.counts(docs).collect()} == {int(g): int(table[g]) for g in np.nonzero(table)[0]}
-    assert lm.cross_entropy_difference(nothing, good).count() == 0
-
-
 def test_toxicity(spark, docs, nothing):
     rnd = random.Random(8)
     rows, labels = [], []

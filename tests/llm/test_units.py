@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from gleaner.llm import induced, lm, packing, pii, simhash, substring, suffix, toxicity, warc
+from gleaner.llm import induced, packing, pii, simhash, substring, suffix, toxicity, warc
 from gleaner.llm.anchors import merged, minimizers
 
 
@@ -144,22 +144,20 @@ def test_bundle(tmp_path):
     assert two["record_id"] == "01" and two["payload"] == b"abc\r\n\r\n"
 
 
-def test_grams_and_losses(rnd):
-    texts = [b"", b"ab", b"Ab c", bytes(rnd.choice(b"ab 1.") for _ in range(50))]
-    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    want = []
-    for text in texts:
-        symbols = [0, 0, 0, *lm.SYMBOLS[list(text)].tolist()] if text else []
-        want += [symbols[i - 3] << 15 | symbols[i - 2] << 10 | symbols[i - 1] << 5 | symbols[i] for i in range(3, len(symbols))]
-    found = lm.grams(data, ends)
-    assert found.tolist() == want
-    table = np.bincount(found, minlength=1 << 20)
-    bits = lm.losses(table)
-    assert np.allclose((2.0 ** -bits.astype(float)).reshape(-1, 32).sum(axis=1), 1, atol=1e-3)  # a distribution in every context
-    seen = lm.losses(table)[found].mean()
-    assert seen < lm.losses(np.zeros(1 << 20, np.int64))[found].mean() == 5.0
-
-
 def test_cells_tell_words_of_a_dictionary():
     cells = toxicity.Cells(b" moron idiot ", b" friendly people other words ")
     assert cells.of(b"idiot, people 12 a") == [cells.work_out(b"idiot")] and cells.work_out(b"people") is None
+
+
+def test_remembered_pieces_are_bounded_in_bytes():
+    memory = packing.Remembered(100_000)
+    for k in range(200):
+        words = {b"%d.%d" % (k, i) for i in range(50)} | {b"often"}
+        new = memory.missing(words)
+        assert set(new) == words - {b"often"} or not k
+        memory.add({w: bytes(8) for w in new})
+        assert words <= set(memory.young)
+        held = [memory.young, memory.old]
+        assert sum(len(w) + len(v) + packing.ENTRY for d in held for w, v in d.items()) < 3 * 100_000
+    memory.add({bytes(1_000_000): bytes(4)})
+    assert memory.missing({b"often"}) == [b"often"] and not memory.young and not memory.old
