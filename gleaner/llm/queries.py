@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontam, packing, pii, quality, simhash, substring, suffix, toxicity, warc, word_lm
+from gleaner.llm import collocations, decontam, hard_negatives, odd_sketch, packing, pii, quality, simhash, substring, suffix, toxicity, warc, word_lm
 from gleaner.llm.common import scratch_path
 from gleaner.session import ship_package
 
@@ -95,3 +95,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
         F.sha2(pii.as_text(of(*pii.BASE_KINDS)), 256).alias("base_sha256"), pii.as_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), lambda vec_id: vec_id % 100 == 0)
+
+
+@query
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(_table(spark, sf_dir, "documents"))
