@@ -1,11 +1,13 @@
 """Phrase collocations: word sequences that stand together more often than their parts would.
 
-A task cuts the words it reads into shards and indexes each by word number: the Burrows-Wheeler transform of the sequence
-and of its reverse, in wavelet matrices, sorted as deep as the longest phrase. Extending intervals of both step by step, to
-the right and to the left, enumerates the shard's n-grams of one length with their counts; the counts are summed over all
-shards. Lengths are counted one after the other: a phrase can be frequent only if its first and its last part of one word
-less are, so a pass extends only what passed before. Which phrases did goes to the tasks as a bitmap of at most
-16 MB; a bitmap too small lets more phrases through and loses none.
+Texts are made shards of numbered words of one language, once, which are stored. A shard is indexed by the Burrows-Wheeler
+transforms of its sequence and of the reverse, in wavelet matrices, sorted as deep as the longest phrase. Extending intervals
+step by step, to the right and to the left, enumerates its n-grams with their counts, which are summed over all shards.
+
+A phrase can be frequent only if its first and its last part of one word less are. So words are counted first; then, for
+each length but the longest, phrases of words that passed are counted by a part of their hash, and what reaches the minimum
+passes; last, phrases that can be frequent are counted as they are. What passed goes to the tasks as a bitmap of at most
+16 MB. Equal hashes, or a bitmap too small, let more phrases through and lose none.
 
 Words are what lies between blanks and tabs; phrases never go over one of ``BREAKS``. Everything is counted per language.
 
@@ -17,6 +19,7 @@ length counted, so nothing is lost or counted twice where they meet. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +39,16 @@ LONGEST = 3
 LEAST = 10
 COVERED = 50
 TOP = 2000
-SHARD_WORDS = 2_000_000
-#: Distinct words a task knows the numbers of, beyond which it begins anew with the next shard.
-KNOWN_WORDS = 500_000
+SHARD_WORDS = 1_000_000
+#: Words whose phrases are enumerated at once.
+STEP = 20_000
 #: Bytes of text that are made words at once.
 SLICE = 1 << 20
 
 COUNTS = "lang string, phrase string, n bigint"
+SHARD = "lang string, overlap int, symbols binary, words binary"
+#: Bits of a phrase's hash that it is counted by before it is counted as it is.
+CELL_BITS = 31
 _PLAIN = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -125,16 +131,23 @@ class Phrases:
 
 
 class PhraseIndex:
-    """Both transforms of a shard. Symbol 0 is a break; phrases hold none. Right for phrases of up to ``depth`` words."""
+    """Both transforms of a shard, each made when it is first asked. Symbol 0 is a break; phrases hold none. Right for phrases
+    of up to ``depth`` words."""
 
     def __init__(self, symbols: np.ndarray, depth: int):
-        symbols = np.append(symbols, 0)  # the ring is closed by a break
-        self.top = int(symbols.max())
-        self.counts = np.bincount(symbols, minlength=self.top + 1)
+        self.symbols, self.depth = np.append(symbols, 0).astype(np.int32), depth  # the ring is closed by a break
+        self.top = int(self.symbols.max())
+        self.counts = np.bincount(self.symbols, minlength=self.top + 1)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))[:-1]
-        self.forward = Wavelet(symbols[_order(symbols, depth, self.top) - 1], self.top)
-        back = symbols[::-1]
-        self.backward = Wavelet(back[_order(back, depth, self.top) - 1], self.top)
+
+    @cached_property
+    def forward(self) -> Wavelet:
+        return Wavelet(self.symbols[_order(self.symbols, self.depth, self.top) - 1], self.top)
+
+    @cached_property
+    def backward(self) -> Wavelet:
+        back = self.symbols[::-1]
+        return Wavelet(back[_order(back, self.depth, self.top) - 1], self.top)
 
     def words(self) -> Phrases:
         present = np.flatnonzero(self.counts[1:]) + 1
@@ -158,122 +171,178 @@ class PhraseIndex:
         return Phrases(np.column_stack((p.words[node], symbol)), low, reverse, size)
 
 
-class _Vocabulary:
-    """Numbers of the words a task has met, by language. Words that did not pass are breaks."""
-
-    def __init__(self, passed: BitMap | None):
-        self.passed = passed
-        self.words, self.langs, self.hashes = [b""], [b""], [0]
-        self.known: dict[bytes, dict[bytes, int]] = {}
+class _Shard:
+    """Words of one language, numbered from 1 as they come; 0 is a break."""
 
-    def symbols(self, lang: bytes, text: bytes) -> np.ndarray:
-        tokens = text.replace(b"\n", b" \n ").split(b" ")
-        known = self.known.setdefault(lang, {b"\n": 0, b"": -1})
-        new = list(set(tokens).difference(known))
-        if new:
-            hashes = [word_hash(lang, w) for w in new]
-            keep = [True] * len(new) if self.passed is None else self.passed.has(phrase_hash([np.array(hashes, np.uint64)])).tolist()
-            for word, h, passes in zip(new, hashes, keep):
-                known[word] = len(self.words) if passes else 0
-                if passes:
-                    self.words.append(word), self.langs.append(lang), self.hashes.append(h)
-        symbols = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
-        return symbols[symbols >= 0]
+    def __init__(self, before: list[bytes]):
+        self.words, self.known = [b""], {b"\n": 0, b"": -1}
+        self.parts, self.size, self.overlap = [], 0, len(before)
+        self.add(before)
 
+    def add(self, tokens: list[bytes]) -> None:
+        new = set(tokens).difference(self.known)
+        self.known.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.words += new
+        symbols = np.fromiter(map(self.known.__getitem__, tokens), np.int32, len(tokens))
+        self.parts.append(symbols[symbols >= 0])
+        self.size += len(self.parts[-1])
 
-def _phrases(index: PhraseIndex, width: int, hashes: np.ndarray, parts: BitMap | None) -> Phrases:
-    """All phrases of ``width`` words, to the right and to the left by turns, whose first and last ``width - 1`` words passed."""
-    def passed(p: Phrases, columns: list[int]) -> Phrases:
-        return p.where(np.flatnonzero(parts.has(phrase_hash([hashes[p.words[:, c]] for c in columns]))))
-
-    found, to_right = index.words(), True
-    for size in range(2, width + 1):
-        if size == width > 2:
-            found = passed(found, list(range(size - 1)))
-        if not len(found.size):
-            break
-        found = index.right(found) if to_right else index.left(found)
-        if size == width > 2:
-            found = passed(found, list(range(1, size)) if to_right else list(range(size - 1)))
-        to_right = not to_right
-    return found
+    def last(self, count: int) -> list[bytes]:
+        found: list[int] = []
+        for part in reversed(self.parts):
+            if len(found) >= count:
+                break
+            found = part[-(count - len(found)):].tolist() + found
+        return [self.words[i] if i else b"\n" for i in found]
 
+    def row(self, lang: str) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang]), pa.array([self.overlap], pa.int32()), pa.array([np.concatenate(self.parts).astype("<i4").tobytes()], pa.binary()),
+             pa.array([b" ".join(self.words[1:])], pa.binary())], names=["lang", "overlap", "symbols", "words"])
 
-def _count(width: int, words_passed, parts_passed, shard_words: int, known_words: int, slice_bytes: int):
-    """Counts of the n-grams of ``width`` words of each shard that a task makes of ``(lang, text)``."""
 
+def _shards(longest: int, shard_words: int, slice_bytes: int):
+    """Shards of a task's ``(lang, text)``. One that begins within a text overlaps with the one before by ``longest - 1`` words."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passed = words_passed and words_passed.value
-        parts = parts_passed and parts_passed.value
-        known = _Vocabulary(passed)
-        held: list[np.ndarray] = []
-        n_held = 0
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            symbols, hashes = np.concatenate(held), np.array(known.hashes, np.uint64)
-            if width == 1:
-                counts = np.bincount(symbols, minlength=len(hashes))
-                rows = np.flatnonzero(counts[1:])[:, None] + 1
-                size = counts[rows[:, 0]]
-            else:
-                found = _phrases(PhraseIndex(symbols, width), width, hashes, parts)
-                rows, size = found.words, found.size
-            words, langs = pa.array(known.words, pa.large_binary()), pa.array(known.langs, pa.binary())
-            for at in range(0, len(rows), 50_000):
-                part = rows[at:at + 50_000]
-                columns = [words.take(pa.array(part[:, c])) for c in range(width)]
-                phrase = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())) if width > 1 else columns[0]
-                yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(part[:, 0])).cast(pa.string()), phrase.cast(pa.string()), pa.array(size[at:at + 50_000], pa.int64())],
-                    names=["lang", "phrase", "n"])
-
+        held: dict[str, _Shard] = {}
         for batch in pieces(batches, "text"):
             texts: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)).to_pylist()):
                 texts.setdefault(lang, []).append(text)
             for lang, of_lang in texts.items():
-                fresh = True
-                for part in _slices(b"\n".join(of_lang), slice_bytes):
-                    if n_held >= shard_words:
-                        yield from emit()
-                        tail = [np.concatenate(held)[-(width - 1):]] if width > 1 and not fresh else []
-                        held, n_held = tail, 0
-                        if len(known.words) > known_words and not tail:
-                            known = _Vocabulary(passed)
-                    held.append(known.symbols(lang.encode(), part))
-                    n_held += len(held[-1])
-                    fresh = False
-                held.append(np.zeros(1, np.int64))
-        if n_held:
-            yield from emit()
+                for n, part in enumerate(_slices(b"\n".join(of_lang), slice_bytes)):
+                    if sum(shard.size for shard in held.values()) >= shard_words:
+                        before = held[lang].last(longest - 1) if n and lang in held else []
+                        yield from (shard.row(name) for name, shard in held.items() if shard.size)
+                        held = {lang: _Shard(before)}
+                    shard = held.get(lang)
+                    if shard is None:
+                        shard = held[lang] = _Shard([])
+                    shard.add(part.replace(b"\n", b" \n ").split(b" "))
+                if lang in held:
+                    held[lang].add([b"\n"])
+        yield from (shard.row(name) for name, shard in held.items() if shard.size)
+
+    return task
+
+
+def _phrases(index: PhraseIndex, found: Phrases, width: int, hashes: np.ndarray, parts: list[BitMap]) -> Iterator[Phrases]:
+    """The phrases of 2 to ``width`` words grown from some words, to the right and to the left by turns: those whose parts of
+    2 and more words passed, as ``parts`` has them by length."""
+    def passed(p: Phrases, size: int) -> Phrases:
+        if size - 2 < len(parts):
+            p = p.where(np.flatnonzero(parts[size - 2].has(phrase_hash([hashes[p.words[:, c]] for c in range(size)]))))
+        elif size > 2:  # its parts must have passed
+            for columns in (range(size - 1), range(1, size)):
+                p = p.where(np.flatnonzero(parts[size - 3].has(phrase_hash([hashes[p.words[:, c]] for c in columns]))))
+        return p
+
+    for size in range(2, width + 1):
+        if not len(found.size):
+            return
+        found = passed(index.left(found) if size % 2 else index.right(found), size)
+        yield found
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], words_passed, width: int):
+    """``(lang, words, hashes, symbols, overlap)`` of each shard, in which words that did not pass are breaks. The overlap is what
+    phrases of ``width`` words need."""
+    passed: BitMap | None = words_passed and words_passed.value
+    for batch in batches:
+        for lang, overlap, symbols, words in zip(*(column for column in batch.columns)):
+            lang, names = lang.as_py(), [b"", *words.as_py().split(b" ")]
+            shared = min(overlap.as_py(), width - 1)
+            symbols = np.frombuffer(symbols.as_buffer(), "<i4")[overlap.as_py() - shared:]
+            hashes = np.fromiter((word_hash(lang.encode(), w) for w in names), np.uint64, len(names))
+            if passed is not None:
+                keep = passed.has(phrase_hash([hashes]))
+                keep[0] = False
+                number = np.where(keep, np.cumsum(keep), 0).astype(np.int32)
+                chosen = np.concatenate(([0], np.flatnonzero(keep)))
+                symbols, hashes, names = number[symbols], hashes[chosen], [names[i] for i in chosen.tolist()]
+            yield lang, names, hashes, symbols, shared
+
+
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the words of each shard."""
+    for lang, names, _, symbols, _ in _indexed(batches, None, 1):
+        counts = np.bincount(symbols, minlength=len(names))
+        some = np.flatnonzero(counts[1:]) + 1
+        for at in range(0, len(some), 50_000):
+            part = some[at:at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([names[i].decode() for i in part.tolist()], pa.string()), pa.array(counts[part], pa.int64())],
+                                             names=["lang", "phrase", "n"])
+
+
+def _cells(words_passed, parts_passed: list, width: int):
+    """Counts of phrases of ``width`` words by their hash."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p.value for p in parts_passed]
+        for _, _, hashes, symbols, _ in _indexed(batches, words_passed, width):
+            index = PhraseIndex(symbols, width)
+            every = index.words()
+            for at in range(0, len(every.size), STEP):
+                for found in _phrases(index, every.where(np.arange(at, min(at + STEP, len(every.size)))), width, hashes, parts):
+                    pass
+                if len(found.size) and found.words.shape[1] == width:
+                    cell = phrase_hash([hashes[found.words[:, c]] for c in range(width)]) >> np.uint64(64 - CELL_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(found.size.astype(np.int32))], names=["cell", "n"])
+
+    return task
+
+
+def _counted(words_passed, parts_passed: list, longest: int):
+    """Counts of the phrases of 2 to ``longest`` words that can be frequent."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [p.value for p in parts_passed]
+
+        def rows(lang: str, words: pa.Array, found: Phrases, sign: int) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(found.size), 50_000):
+                part = found.words[at:at + 50_000]
+                columns = [words.take(pa.array(part[:, c])) for c in range(part.shape[1])]
+                phrase = pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary())).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), phrase, pa.array(sign * found.size[at:at + 50_000], pa.int64())], names=["lang", "phrase", "n"])
+
+        for lang, names, hashes, symbols, shared in _indexed(batches, words_passed, longest):
+            index, words = PhraseIndex(symbols, longest), pa.array(names, pa.large_binary())
+            every = index.words()
+            for at in range(0, len(every.size), STEP):
+                for found in _phrases(index, every.where(np.arange(at, min(at + STEP, len(every.size)))), longest, hashes, parts):
+                    yield from rows(lang, words, found, 1)
+            if shared > 1:  # shorter phrases within the overlap have been counted by the shard before
+                twice = PhraseIndex(symbols[:shared], longest)
+                for found in _phrases(twice, twice.words(), shared, hashes, parts):
+                    yield from rows(lang, words, found, -1)
 
     return task
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, lang_column: str = "lang", text_column: str = "text",
-                     shard_words: int = SHARD_WORDS, most_bits: int = MOST_BITS, known_words: int = KNOWN_WORDS,
-                     slice_bytes: int = SLICE) -> tuple[list[DataFrame], DataFrame]:
-    """Stored tables ``(lang, phrase, n)`` of the phrases of 1, 2, … ``longest`` words that stand ``least`` times or more, and
+                     shard_words: int = SHARD_WORDS, most_bits: int = MOST_BITS, slice_bytes: int = SLICE) -> tuple[DataFrame, DataFrame]:
+    """Stored ``(lang, phrase, words, n)`` of the phrases of 1 to ``longest`` words that stand ``least`` times or more, and
     ``(lang, n)`` with each language's word occurrences."""
+    if longest < 2:
+        raise ValueError("longest must be 2 or more")
     context = docs.sparkSession.sparkContext
     read = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"), F.col(text_column).cast("string").alias("text"))
+    shards = stored(read.mapInArrow(_shards(longest, shard_words, slice_bytes), SHARD), "shards")
 
-    def counted(width: int, words=None, parts=None) -> DataFrame:
-        rows = read.mapInArrow(_count(width, words, parts, shard_words, known_words, slice_bytes), COUNTS)
-        return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    def sent(hashes: DataFrame):
+        return context.broadcast(bit_map(hashes, hashes.count(), most_bits))
 
     # Rare words are made one row per language, for its total.
-    often = counted(1).withColumn("rare", F.col("n") < least)
+    often = shards.mapInArrow(_words, COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).withColumn("rare", F.col("n") < least)
     words = stored(often.groupBy("lang", "rare", F.when(~F.col("rare"), F.col("phrase")).alias("phrase")).agg(F.sum("n").alias("n")), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    tables = [words.filter("not rare").select("lang", "phrase", "n")]
-    words_passed = parts_passed = None
-    for width in range(2, longest + 1):
-        last = tables[-1]
-        sent = context.broadcast(bit_map(last.select("lang", "phrase").mapInArrow(_hashes, "h bigint"), last.count(), most_bits))
-        words_passed = words_passed or sent
-        tables.append(stored(counted(width, words_passed, sent if width > 2 else None).filter(F.col("n") >= least), "phrases"))
-    return tables, totals
+    frequent = words.filter("not rare").select("lang", "phrase", F.lit(1).alias("words"), "n")
+    words_passed, parts = sent(frequent.select("lang", "phrase").mapInArrow(_hashes, "h bigint")), []
+    for width in range(2, longest):
+        cells = shards.mapInArrow(_cells(words_passed, list(parts), width), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+        many = stored(cells.filter(F.col("n") >= least).select(F.shiftleft(F.col("cell").cast("long"), 64 - CELL_BITS).alias("h")), "cells")
+        parts.append(sent(many))
+    long = shards.mapInArrow(_counted(words_passed, parts, longest), COUNTS).groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    size = F.size(F.split("phrase", " ")).alias("words")
+    return stored(frequent.union(long.select("lang", "phrase", size, "n")), "phrases"), totals
 
 
 def _first(phrase: str, words: int):
@@ -287,14 +356,11 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
     is the lowest floor(1000000 a a / (l r)) of any cut, the first of equal ones. Phrases inside a longer candidate that has
     ``covered`` hundredths of their occurrences or more go. Order: score and a descending, phrase ascending by its bytes.
     """
-    tables, totals = frequent_phrases(docs, longest, least, **options)
-    counts = tables[0]
-    for table in tables[1:-1]:
-        counts = counts.union(table)
-    cuts, inside, every = None, None, None
-    for width, table in enumerate(tables[1:], 2):
-        rows = table.select("lang", "phrase", F.col("n").alias("a"))
-        every = rows if every is None else every.union(rows)
+    every, totals = frequent_phrases(docs, longest, least, **options)
+    counts = every.filter(F.col("words") < longest)
+    cuts, inside = None, None
+    for width in range(2, longest + 1):
+        rows = every.filter(F.col("words") == width).select("lang", "phrase", F.col("n").alias("a"))
         each = rows.select("lang", "phrase", "a", F.explode(F.sequence(F.lit(1), F.lit(width - 1))).alias("k"))
         each = each.withColumn("first", F.expr("substring_index(phrase, ' ', k)")).withColumn("rest", F.expr(f"substring_index(phrase, ' ', k - {width})"))
         cuts = each if cuts is None else cuts.union(each)
@@ -302,8 +368,6 @@ def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, co
             for start in range(width - size + 1):
                 part = rows.select("lang", F.substring_index(_first("phrase", start + size), " ", -size).alias("phrase"), "a")
                 inside = part if inside is None else inside.union(part)
-    if every is None:
-        raise ValueError("longest must be 2 or more")
     scored = cuts.join(counts.select("lang", F.col("phrase").alias("first"), F.col("n").alias("l")), ["lang", "first"])
     scored = scored.join(counts.select("lang", F.col("phrase").alias("rest"), F.col("n").alias("r")), ["lang", "rest"])
     of = lambda c: F.col(c).cast("decimal(15,0)")
