@@ -41,17 +41,18 @@ PERCENT = 80
 BANDS, WIDTH = 50, 5
 #: Bands in which nearest classes are looked for first.
 FIRST_BANDS = 4
-#: Bits of an odd sketch.
+#: Bits of an odd sketch; samples and bits of a longer one.
 BITS = 512
+FINE_SAMPLES, FINE_BITS = 3000, 8192
 BLOCK = 4096
 #: Members that are confirmed against one class in one task.
 CHUNK = 256
-#: Shingles whose samples are taken at once.
-STEP = 1024
+#: Samples of shingles that are taken at once.
+STEP = 1 << 18
 #: Buckets of at most so many classes are compared together, by size.
 SMALL = 12
 
-_SAMPLES = mixed(np.arange(1, 2 * BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_SAMPLES = mixed(np.arange(1, 2 * FINE_SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -69,11 +70,12 @@ def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
 
 def samples(shingles: np.ndarray, count: int) -> np.ndarray:
     """Minimum hashes of a set that is not empty, 32 bits each."""
-    a, b = (_SAMPLES[:count] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _SAMPLES[count:2 * count].astype(np.uint32)
+    a, b = (_SAMPLES[:count] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), _SAMPLES[FINE_SAMPLES:FINE_SAMPLES + count].astype(np.uint32)
     h = (mixed(shingles) >> np.uint64(32)).astype(np.uint32)
     least = np.full(count, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(h), STEP):
-        part = h[at:at + STEP, None] * a[None, :]
+    step = max(1, STEP // count)
+    for at in range(0, len(h), step):
+        part = h[at:at + step, None] * a[None, :]
         part += b[None, :]
         np.minimum(least, part.min(axis=0), out=least)
     return least
@@ -246,8 +248,13 @@ def _pairs(members: DataFrame, classes: DataFrame, limit: int, percent: int, nea
     return dealt.mapInArrow(task, "member bigint, leader bigint")
 
 
-def _sets(docs: DataFrame, wanted, shingle: int) -> DataFrame:
-    """``(tag, shingles)`` of texts whose digest may be wanted; a task gives a text once."""
+def _of_texts(docs: DataFrame, needs: DataFrame, made, name: str) -> DataFrame:
+    """``(tag, name)``: what ``made`` makes, as bytes, of the texts whose digests are the tags of ``needs``, and perhaps of others.
+
+    A task gives a text once.
+    """
+    tags = needs.select("tag").distinct()
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(tags.mapInArrow(_tag_hash, "h bigint"), tags.count()))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passed: BitMap = wanted.value
@@ -259,10 +266,9 @@ def _sets(docs: DataFrame, wanted, shingle: int) -> DataFrame:
             kept = {tag: text for tag, text, ok in zip(tags, texts, may) if ok and tag not in seen}
             seen.update(kept)
             if kept:
-                sets = [shingle_set(t, shingle).tobytes() for t in kept.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(sets, pa.binary())], names=["tag", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(kept), pa.binary()), pa.array(list(map(made, kept.values())), pa.binary())], names=["tag", name])
 
-    return docs.mapInArrow(task, "tag binary, shingles binary")
+    return docs.mapInArrow(task, f"tag binary, {name} binary")
 
 
 def _tag_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,11 +287,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     needs = placed.select("leader", "chunk", F.lit(False).alias("leads"), F.col("member").alias("cid"))
     needs = needs.union(placed.select("leader", "chunk", F.lit(True), "leader").distinct())
     needs = stored(needs.join(classes.select("cid", "tag"), "cid"), "needs")
-    count = needs.count()
-    if not count:
+    if needs.isEmpty():
         return docs.sparkSession.createDataFrame([], "u bigint, v bigint")
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_map(needs.select("tag").distinct().mapInArrow(_tag_hash, "h bigint"), count))
-    rows = needs.join(_sets(docs, wanted, shingle), "tag").select("leader", "chunk", "leads", "cid", "shingles")
+    sets = _of_texts(docs, needs, lambda text: shingle_set(text, shingle).tobytes(), "shingles")
+    rows = needs.join(sets, "tag").select("leader", "chunk", "leads", "cid", "shingles")
     dealt = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", F.desc("leads"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +315,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     return dealt.mapInArrow(task, "u bigint, v bigint").distinct()
 
 
+def _finer(members: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """``(cid, n, sketch)`` of the classes of ``members``, with longer sketches."""
+    needs = stored(classes.select("cid", "n", "tag").join(members.select("cid").distinct(), "cid", "left_semi"), "compared")
+
+    def made(text: bytes) -> bytes:
+        found = shingle_set(text, shingle)
+        return odd_sketch(samples(found, FINE_SAMPLES), FINE_BITS) if len(found) else b""
+
+    sketches = _of_texts(docs, needs, made, "sketch").groupBy("tag").agg(F.first("sketch").alias("sketch"))
+    return stored(needs.join(sketches, "tag").select("cid", "n", "sketch"), "sketches")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, bands: int = BANDS, width: int = WIDTH, block: int = BLOCK,
                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row: documents are linked where 100 * intersection >= ``percent`` * union."""
@@ -326,12 +343,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     links = _confirmed(_pairs(members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("cid")), classes, limit, percent, True, block), narrow, classes, percent, shingle)
     links = stored(links, "links")
+    fine, fine_limit = None, most_bits(percent, FINE_SAMPLES, FINE_BITS)
     for nearest in (True, False):
         roots = components(links)
         marked = members.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-        mixed_ones = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
-        left = stored(marked.join(mixed_ones, "key"), "mixed")
-        more = _confirmed(_pairs(left, classes, limit, percent, nearest, block), narrow, classes, percent, shingle)
+        several = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
+        left = stored(marked.join(several, "key"), "mixed")
+        if left.isEmpty():
+            break
+        fine = fine if fine is not None else _finer(left, narrow, classes, shingle)
+        more = _confirmed(_pairs(left, fine, fine_limit, percent, nearest, block), narrow, classes, percent, shingle)
         links = stored(links.union(more), "links")
     roots = components(links)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))

@@ -94,19 +94,20 @@ def test_nothing(spark):
     assert sorted(map(tuple, rows), key=str) == [(603, 0, 603, True), (604, 0, 604, True), (None, 0, None, True)]
 
 
-def test_sketches_tell_similarity():
+@pytest.mark.parametrize("count,size,other", [(odd_sketch.BANDS * odd_sketch.WIDTH, odd_sketch.BITS, 0.3), (odd_sketch.FINE_SAMPLES, odd_sketch.FINE_BITS, 0.68)])
+def test_sketches_tell_similarity(count, size, other):
     rnd = np.random.default_rng(1)
-    count, limit = odd_sketch.BANDS * odd_sketch.WIDTH, odd_sketch.most_bits(80, odd_sketch.BANDS * odd_sketch.WIDTH)
+    limit = odd_sketch.most_bits(80, count, size)
 
     def bits(share, n=400):
         common = int(n * 2 * share / (1 + share))
         a = rnd.integers(0, 1 << 63, n, np.uint64)
         b = np.concatenate((a[:common], rnd.integers(0, 1 << 63, n - common, np.uint64)))
-        one, two = (np.frombuffer(odd_sketch.odd_sketch(odd_sketch.samples(x, count)), np.uint64) for x in (a, b))
+        one, two = (np.frombuffer(odd_sketch.odd_sketch(odd_sketch.samples(x, count), size), np.uint64) for x in (a, b))
         return int(np.bitwise_count(one ^ two).sum())
 
     at_limit = [bits(0.8) for _ in range(300)]
     differ = 2 * count * 0.2
-    expected = odd_sketch.BITS / 2 * (1 - (1 - 2 / odd_sketch.BITS) ** differ)
-    assert abs(np.mean(at_limit) - expected) < 4 and max(at_limit) <= limit
-    assert min(bits(0.3) for _ in range(100)) > limit
+    expected = size / 2 * (1 - (1 - 2 / size) ** differ)
+    assert abs(np.mean(at_limit) - expected) < size / 100 and max(at_limit) <= limit
+    assert min(bits(other) for _ in range(100)) > limit
