@@ -161,3 +161,20 @@ def test_remembered_pieces_are_bounded_in_bytes():
         assert sum(len(w) + len(v) + packing.ENTRY for d in held for w, v in d.items()) < 3 * 100_000
     memory.add({bytes(1_000_000): bytes(4)})
     assert memory.missing({b"often"}) == [b"often"] and not memory.young and not memory.old
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rnd = random.Random(12)
+    marks = ["'s", "'S", "'ll", "'", "\"", ".", ",", "&&&", "(", "12", "7", "a", "Bc", "don't", "É", "é", "≠", "ñ", "Σ", "ς", "İ", "<|endoftext|>", "<|", "x", "‍", "日本", "\x00", "\x1c", "_", "-", "½"]
+    words = ["".join(rnd.choice(marks) for _ in range(rnd.randrange(1, 7))) for _ in range(4000)]
+    texts = [" ".join(words[i:i + 20]).encode() for i in range(0, 4000, 20)]
+    encode = packing._encoder(path, True)
+    assert packing._splitter(path) is not None
+    for text, got in zip(texts, encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert packing._splitter(public_tokenizers.path("byte_bpe_50k.json")) is None
