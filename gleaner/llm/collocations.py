@@ -39,7 +39,7 @@ LONGEST = 3
 LEAST = 10
 COVERED = 50
 TOP = 2000
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 #: Words whose phrases are enumerated at once.
 STEP = 20_000
 #: Bytes of text that are made words at once.
