@@ -156,30 +156,3 @@ def anchored_windows(
     # A window that runs over a block's end was counted in two parts.
     whole = counted.groupBy("key_hash", "window_start").agg(F.sum("requests").alias("requests"))
     return _verdict(whole, limits)
-
-
-def continue_windows(window_seconds: int):
-    """State function for the streaming audit: the open window of one key, carried over micro-batches.
-
-    Requests of a batch are counted per second as they come in, then walked in time order. One that arrives late counts
-    into the open window, as it would at the gate.
-    """
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        counts: dict[int, int] = {}
-        for pdf in batches:
-            for second, n in pdf.groupby("second").size().items():
-                counts[int(second)] = counts.get(int(second), 0) + int(n)
-        start, count = state.get if state.exists else (None, 0)
-        touched: dict[int, int] = {}
-        for second in sorted(counts):
-            if start is None or second >= start + window_seconds:
-                start, count = second, 0
-            count += counts[second]
-            touched[start] = count
-        state.update((start, count))
-        yield pd.DataFrame(
-            {"key_hash": key[0], "window_start": list(touched), "requests": list(touched.values())}
-        )
-
-    return step

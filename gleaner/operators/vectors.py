@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.versions import latest
 
-# Query vectors are sent to every task up to this many numbers (64 MB as doubles); beyond it both sides are cut into
+# Query vectors are sent to every task up to this many numbers (16 MB as doubles); beyond it both sides are cut into
 # blocks that meet in a join.
-BROADCAST_NUMBERS = 8_000_000
+BROADCAST_NUMBERS = 2_000_000
 _QUERIES_PER_BLOCK = 4096
 
 
@@ -29,20 +29,42 @@ def upsert(current: DataFrame, changes: DataFrame, version: str) -> DataFrame:
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    rows = np.array(column.tolist(), dtype=np.float64)
+    """Vectors of one dimension as rows of length one, or zero."""
+    rows = np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, matrix: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of ``ids`` for each query, ties by id."""
-    scores = np.round(queries @ matrix.T, 6)
-    out = []
-    for q, row in zip(query_ids, scores):
-        near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if k < len(row) else np.arange(len(row))
-        order = near[np.lexsort((ids[near], -row[near]))[:k]]
-        out.append(pd.DataFrame({"query_id": q, "id": ids[order], "score": row[order]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+class Ranker:
+    """The k best of all vectors shown for each query, ties by id; what it holds does not grow with the vectors."""
+
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, k: int, block: int = 256):
+        self.query_ids, self.queries, self.k, self.block = query_ids, queries, k, block
+        self.ids = np.full((len(query_ids), k), np.iinfo(np.int64).max)
+        self.scores = np.full((len(query_ids), k), -np.inf)
+
+    def show(self, ids: np.ndarray, matrix: np.ndarray) -> None:
+        for at in range(0, len(self.query_ids), self.block):
+            part = slice(at, at + self.block)
+            scores = np.round(self.queries[part] @ matrix.T, 6)
+            if scores.shape[1] > self.k:
+                last = np.partition(scores, -self.k, axis=1)[:, -self.k]
+                rows, columns = np.nonzero(scores >= np.maximum(last, self.scores[part, -1])[:, None])
+            else:
+                rows, columns = np.divmod(np.arange(scores.size), max(1, scores.shape[1]))
+            held = np.repeat(np.arange(scores.shape[0]), self.k)
+            row = np.concatenate((held, rows))
+            id_, score = np.concatenate((self.ids[part].ravel(), ids[columns])), np.concatenate((self.scores[part].ravel(), scores[rows, columns]))
+            order = np.lexsort((id_, -score, row))
+            row, id_, score = row[order], id_[order], score[order]
+            first = np.searchsorted(row, np.arange(scores.shape[0]))
+            best = (first[:, None] + np.arange(self.k)[None, :]).ravel()
+            self.ids[part], self.scores[part] = id_[best].reshape(-1, self.k), score[best].reshape(-1, self.k)
+
+    def found(self) -> Iterator[pd.DataFrame]:
+        for at in range(0, len(self.query_ids), 4096):
+            rows, places = np.nonzero(np.isfinite(self.scores[at:at + 4096]))
+            yield pd.DataFrame({"query_id": self.query_ids[at + rows], "id": self.ids[at + rows, places], "score": self.scores[at + rows, places]})
 
 
 _CANDIDATE_SCHEMA = "query_id bigint, id bigint, score double"
@@ -63,9 +85,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         candidates = _broadcast_scan(vectors, queries, k)
     else:
         candidates = _grid(vectors, queries, k, -(-sized["n"] // _QUERIES_PER_BLOCK))
+    return ranked(candidates, k)
+
+
+def ranked(candidates: DataFrame, k: int) -> DataFrame:
+    """``(query_id, rank, id, score)`` of the best candidates."""
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = candidates.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "id", "score")
+    found = candidates.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
+    return found.select("query_id", "rank", "id", "score")
 
 
 def _broadcast_scan(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -73,10 +100,11 @@ def _broadcast_scan(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame
     sent = vectors.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["vector"])))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        query_ids, query_matrix = sent.value
+        best = Ranker(*sent.value, k)
         for pdf in batches:
             if len(pdf):
-                yield _best(query_ids, query_matrix, pdf["id"].to_numpy(), _matrix(pdf["vector"]), k)
+                best.show(pdf["id"].to_numpy(), _matrix(pdf["vector"]))
+        yield from best.found()
 
     return vectors.select("id", "vector").mapInPandas(scan, _CANDIDATE_SCHEMA)
 
@@ -96,8 +124,8 @@ def _grid(vectors: DataFrame, queries: DataFrame, k: int, query_blocks: int) ->
     def cell(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(held):
             return pd.DataFrame({"query_id": [], "id": [], "score": []})
-        return _best(
-            asked["query_id"].to_numpy(), _matrix(asked["vector"]), held["id"].to_numpy(), _matrix(held["vector"]), k
-        )
+        best = Ranker(asked["query_id"].to_numpy(), _matrix(asked["vector"]), k)
+        best.show(held["id"].to_numpy(), _matrix(held["vector"]))
+        return pd.concat(best.found())
 
     return left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(cell, _CANDIDATE_SCHEMA)

@@ -10,9 +10,9 @@ from gleaner.functions.patterns import (
     oracle_patterns,
 )
 from gleaner.functions.paths import CONTENT_TYPES, DEFAULT_CONTENT_TYPE, DEFAULT_EXTENSIONS
-from gleaner.operators.sketch import WORD_COLUMNS
+from gleaner.operators.sketch import WORD_COLUMNS, layer_size
 from gleaner.operators.stats import HISTOGRAM_EDGES
-from gleaner.queries import AUDIT_WINDOW_SECONDS, FUZZY_DISTANCE, PORTABLE_SKETCH, TOP_K
+from gleaner.queries import ADDED_LINE, AUDIT_WINDOW_SECONDS, FIRST_LAYER, FUZZY_DISTANCE, PORTABLE_SKETCH, TOP_K
 from gleaner.schemas import SCAN_STATUSES
 
 
@@ -242,6 +242,24 @@ _INFO = f"""info AS (
 )"""
 
 
+# Values fill the layers in the order of a hash; a layer's bound is what it and the earlier ones hold.
+_LAYERS = ", ".join(f"({i}, {layer_size(FIRST_LAYER, i).blocks}, {FIRST_LAYER.capacity << i}, {(FIRST_LAYER.capacity << i + 1) - FIRST_LAYER.capacity}, "
+                    f"{layer_size(FIRST_LAYER, i).bits // 8})" for i in range(30))
+_GROWN = f"""layers(layer, blocks, capacity, upto, bytes) AS (VALUES {_LAYERS}),
+asked_values AS (SELECT DISTINCT ioc_value FROM store),
+total AS (SELECT count(*) AS n FROM asked_values),
+placed AS (
+  SELECT ioc_value, (SELECT min(layer) FROM layers, total
+    WHERE CAST('0x' || substr(md5('layer' || ioc_value), 1, 15) AS BIGINT) % 1073741824 * n::HUGEINT < least(upto, n) * 1073741824::HUGEINT) AS layer
+  FROM asked_values
+),
+grown AS (
+  SELECT CAST(layer AS BIGINT) AS layer, CAST('0x' || substr(md5(ioc_value), 1, 15) AS BIGINT) % blocks AS block, """ + ", ".join(
+    f"bit_or(1::BIGINT << CAST(({_BITS} >> {5 * i}) & 31 AS INTEGER)) AS {w}" for i, w in enumerate(WORD_COLUMNS)
+) + """ FROM placed JOIN layers USING (layer) GROUP BY 1, 2
+)"""
+
+
 def _histogram(rows: str, value: str, edges, by: str = "") -> str:
     prefix = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
@@ -292,6 +310,17 @@ ORACLES: dict[str, str] = {
     "object_exists": f"{_O} SELECT file_id AS object_key, file_id IN (SELECT object_key FROM objects) AS present FROM files",
     "object_list_prefix": f"{_O} SELECT object_key, size FROM objects WHERE starts_with(object_key, 'a')",
     "object_delete": f"{_O} SELECT object_key, size FROM objects WHERE state <> 'touched'",
+    "object_read_range": f"{_O}, bytes AS (SELECT file_id AS object_key, substr(hex(encode(content)), 1001, 2400) AS digits FROM files "
+                         "WHERE state = 'known' AND file_size > 500 AND file_id IN (SELECT object_key FROM objects)) "
+                         "SELECT object_key, CAST(length(digits) // 2 AS BIGINT) AS n_bytes, md5(digits) AS hex_md5 FROM bytes",
+    "tree_ingest": "WITH " + _FOUND.replace("last_modified, content, state", f"last_modified, content || CASE state WHEN 'touched' THEN {_q(ADDED_LINE)} ELSE '' END AS content, state", 1)
+                   + f", counts AS (SELECT file_id, count(*) AS n FROM found GROUP BY 1) SELECT job, file_path, CASE WHEN coalesce(n, 0) > 0 THEN 'infected' ELSE 'misc' END "
+                   f"AS scan_status, coalesce(n, 0) AS ioc_count, CAST(CASE state WHEN 'touched' THEN 2 ELSE 1 END AS BIGINT) AS runs "
+                   f"FROM files LEFT JOIN counts USING (file_id), (VALUES ('batch'), ('stream')) AS jobs(job) WHERE {_EXTENSION} IN {_list(DEFAULT_EXTENSIONS)}",
+    "query_log_append": f"{_L} SELECT CAST(CASE event_id % 2 WHEN 1 THEN 36 ELSE length(CAST(event_id AS VARCHAR)) END AS INTEGER) AS id_length, 1::BIGINT AS rows_of_id, "
+                        f"{_ts('\"timestamp\"', '\"timestamp\"')}, api_key_hash, endpoint, strftime(\"timestamp\", '%Y-%m-%d') AS day FROM log JOIN events ON CAST(event_id AS VARCHAR) = query_id",
+    "query_log_compacted": f"{_L} SELECT query_id, {_ts('\"timestamp\"', '\"timestamp\"')}, api_key_hash, endpoint, strftime(\"timestamp\", '%Y-%m-%d') AS day FROM log "
+                           "WHERE \"timestamp\" > TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS",
     "query_log_retained": f"{_L} SELECT query_id, {_ts('\"timestamp\"', '\"timestamp\"')}, api_key_hash, endpoint FROM log "
                           "WHERE \"timestamp\" > TIMESTAMP '2024-02-15 00:00:00' - INTERVAL 30 DAYS",
     "active_keys": f"{_L} SELECT key_hash, key_name, rate_limit, {_ts('last_used')} FROM current_keys WHERE is_active",
@@ -381,6 +410,11 @@ ORACLES: dict[str, str] = {
     "bloom_build": f"{_S}, {_SKETCH} SELECT * FROM sketch",
     "bloom_extend": f"{_S}, {_SKETCH} SELECT * FROM sketch",
     "bloom_probe": f"{_SRQ}, {_SKETCH}, {_PROBED} SELECT ioc_value, maybe_present FROM probed",
+    "bloom_grow": f"{_S}, {_GROWN} SELECT * FROM grown",
+    "bloom_grow_info": f"{_S}, {_GROWN}, opened AS (SELECT DISTINCT layer FROM placed) SELECT CAST(sum(capacity) AS BIGINT) AS capacity, "
+                       "CAST(sum(bytes) AS BIGINT) AS size_bytes, (SELECT n FROM total) AS items_inserted, "
+                       f"(SELECT CAST(sum({' + '.join(f'CAST(bit_count({w}) AS BIGINT)' for w in WORD_COLUMNS)}) AS BIGINT) FROM grown) AS bits_set, count(*) - 1 AS expansions "
+                       "FROM opened JOIN layers USING (layer)",
     "bloom_info": f"{_S}, {_SKETCH}, {_INFO} SELECT *, round(bits_set / {PORTABLE_SKETCH.bits}, 6) AS fill_ratio FROM info",
     "gate_stats": f"{_SRQ}, {_SKETCH}, {_PROBED} SELECT count(*) AS total, count(*) FILTER (maybe_present) AS bloom_hits, "
                   "count(*) FILTER (NOT maybe_present) AS bloom_misses FROM probed",
@@ -401,6 +435,16 @@ ORACLES: dict[str, str] = {
       )
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score
       FROM scored QUALIFY rank <= {TOP_K}""",
+    "vector_topk_many": f"""WITH scored AS (
+        SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
+        FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0
+      )
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score, 1.0::DOUBLE AS recall
+      FROM scored QUALIFY rank <= {TOP_K}""",
+    "fuzzy_search": f"{_F}, names AS (SELECT DISTINCT ioc_value AS name FROM ({_PER_TYPE['domain']})), "
+                    "hosts AS (SELECT DISTINCT lower(split_part(url, '/', 3)) AS name FROM pages WHERE split_part(url, '/', 3) <> '') "
+                    "SELECT a.name AS left_name, b.name AS right_name, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance "
+                    f"FROM hosts a JOIN names b ON levenshtein(a.name, b.name) <= {FUZZY_DISTANCE}",
     "fuzzy_domain": f"{_F}, names AS (SELECT DISTINCT ioc_value AS name FROM ({_PER_TYPE['domain']})) "
                     "SELECT a.name AS left_name, b.name AS right_name, CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance "
                     f"FROM names a JOIN names b ON a.name < b.name WHERE levenshtein(a.name, b.name) <= {FUZZY_DISTANCE}",

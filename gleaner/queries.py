@@ -14,12 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import content_type, extension, has_extension, rfc3339
-from gleaner.operators import audit, extract, fuzzy, lookup, objects, sketch, stats, vectors, versions
+from gleaner.operators import audit, extract, fuzzy, lookup, objects, sketch, stats, vector_index, vectors, versions
 from gleaner.plans.check import bulk_check, gated_check
-from gleaner.plans.ingest import changed_files, new_sightings, unchanged_files, verdicts
+from gleaner.plans.ingest import changed_files, new_sightings, run_ingest, unchanged_files, verdicts
 from gleaner.schemas import IOC_TABLE, KEY_TABLE, REGISTRY_TABLE, SCAN_STATUSES
 from gleaner.session import apply_settings, shared_folder
 from gleaner.sources import corpus
+from gleaner.sources.files import write_tree
+from gleaner.sources.logs import log_table
+from gleaner.sources.objects import object_store
 from gleaner.sources.tables import ioc_table, registry_table
 from gleaner.streaming import jobs
 
@@ -28,9 +31,14 @@ RETENTION_AS_OF = datetime(2024, 2, 15)
 AUDIT_WINDOW_SECONDS = 86_400
 TOP_K = 10
 FUZZY_DISTANCE = 2
+CHUNK_BYTES = 1000
 
 # Portable hashing, so that the SQL side can build and probe the same filter.
 PORTABLE_SKETCH = sketch.SketchSize(hashing="md5")
+#: The first layer of a filter that grows; small, so that it grows over the given tables.
+FIRST_LAYER = sketch.SketchSize(capacity=1000, hashing="md5")
+#: What is added to the files that change between two ingests of a tree.
+ADDED_LINE = "\nchanged 203.0.113.77 and mailto:new@changed.example.org"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -152,10 +160,57 @@ def object_list_prefix(spark, sf_dir):
     return objects.list_prefix(_objects(spark, sf_dir), "a")
 
 
+def _stored_objects(spark: SparkSession, sf_dir: str):
+    """An object table in chunks that holds the files without indicators."""
+    store = object_store(spark, _fresh(spark, "objects"), CHUNK_BYTES)
+    plain = extract.with_ioc_count(corpus.files(spark, sf_dir)).filter(F.col("ioc_count") == 0)
+    store.put(plain.select(F.col("file_id").alias("object_key"), "file_path", "content"), _run_ts())
+    return store
+
+
 @query
 def object_delete(spark, sf_dir):
-    gone = corpus.files(spark, sf_dir).filter(F.col("state") == "touched").select(F.col("file_id").alias("object_key"))
-    return objects.delete(_objects(spark, sf_dir), gone).select("object_key", "size")
+    """Objects deleted from a stored table, which is read back."""
+    store = _stored_objects(spark, sf_dir)
+    store.delete(corpus.files(spark, sf_dir).filter(F.col("state") == "touched").select(F.col("file_id").alias("object_key")))
+    return store.manifest().select("object_key", "size")
+
+
+@query
+def object_read_range(spark, sf_dir):
+    """Bytes 500 to 1700 of stored objects, over the border of two chunks."""
+    asked = corpus.files(spark, sf_dir).filter(F.col("state") == "known").select(
+        F.col("file_id").alias("object_key"), F.lit(500).cast("long").alias("first"), F.lit(1200).cast("long").alias("length"))
+    parts = _stored_objects(spark, sf_dir).read_range(asked)
+    whole = parts.groupBy("object_key").agg(F.sort_array(F.collect_list(F.struct("start", F.hex("content").alias("digits")))).alias("parts"))
+    digits = F.concat_ws("", "parts.digits")
+    return whole.select("object_key", (F.length(digits) / 2).cast("long").alias("n_bytes"), F.md5(digits).alias("hex_md5"))
+
+
+@query
+def tree_ingest(spark, sf_dir):
+    """All files written to a tree, ingested by the batch job and by the stream, some changed, and both run again."""
+    folder = _fresh(spark, "tree")
+    root, batch, stream = (f"{folder}/{name}" for name in ("files", "batch", "stream"))
+    files = corpus.files(spark, sf_dir)
+
+    def both() -> None:
+        run_ingest(spark, root, batch, RUN_TS)
+        jobs.ingest_tree(spark, root, stream, f"{stream}/checkpoint", run_ts=_run_ts).awaitTermination()
+
+    write_tree(files, root)
+    both()
+    touched = files.filter(F.col("state") == "touched")
+    write_tree(touched.withColumns({"content": F.concat("content", F.lit(ADDED_LINE)), "last_modified": F.col("last_modified") + F.expr("INTERVAL 1 HOUR")}), root)
+    both()
+
+    def rows(tables: str, name: str) -> DataFrame:
+        versions_of = registry_table(spark, tables).all_versions().groupBy("file_id").agg(F.count(F.lit(1)).alias("runs"))
+        current = registry_table(spark, tables).current().join(versions_of, "file_id")
+        path = F.substring_index(F.substring_index("file_path", f"{folder.removeprefix('file:')}/files/", -1), "//", -1)
+        return current.select(F.lit(name).alias("job"), path.alias("file_path"), "scan_status", "ioc_count", "runs")
+
+    return rows(batch, "batch").union(rows(stream, "stream"))
 
 
 @query
@@ -164,6 +219,27 @@ def query_log_retained(spark, sf_dir):
     return _as_text(kept.select("query_id", "timestamp", "api_key_hash", "endpoint"))
 
 
+@query
+def query_log_append(spark, sf_dir):
+    """The log appended to in two runs, the second without ids of its own."""
+    log, rows = log_table(spark, _fresh(spark, "log")), corpus.query_log(spark, sf_dir)
+    odd = F.col("query_id").cast("long") % 2 == 1
+    log.append(rows.filter(~odd))
+    log.append(rows.filter(odd).drop("query_id"))
+    ids = log.read().groupBy("query_id").agg(F.count(F.lit(1)).alias("rows_of_id"))
+    stored = log.read().join(ids, "query_id").select(F.length("query_id").alias("id_length"), "rows_of_id", "timestamp", "api_key_hash", "endpoint", "day")
+    return _as_text(stored)
+
+
+@query
+def query_log_compacted(spark, sf_dir):
+    """The stored log after old days were dropped."""
+    log = log_table(spark, _fresh(spark, "log"))
+    log.append(corpus.query_log(spark, sf_dir))
+    log.retain(RETENTION_AS_OF)
+    return _as_text(log.read().select("query_id", "timestamp", "api_key_hash", "endpoint", "day"))
+
+
 @query
 def active_keys(spark, sf_dir):
     current = versions.latest(corpus.api_keys(spark, sf_dir), KEY_TABLE.keys, KEY_TABLE.version)
@@ -486,6 +562,21 @@ def bloom_info(spark, sf_dir):
     return sketch.info(gate, store, "ioc_value", PORTABLE_SKETCH)
 
 
+def _grown(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return sketch.grow(None, None, corpus.ioc_store(spark, sf_dir), "ioc_value", FIRST_LAYER)
+
+
+@query
+def bloom_grow(spark, sf_dir):
+    return _grown(spark, sf_dir)[0]
+
+
+@query
+def bloom_grow_info(spark, sf_dir):
+    series, items = _grown(spark, sf_dir)
+    return sketch.series_info(series, items, FIRST_LAYER)
+
+
 @query
 def gate_stats(spark, sf_dir):
     return stats.gate_stats(bloom_probe(spark, sf_dir))
@@ -517,6 +608,23 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(corpus.vectors(spark, sf_dir), corpus.label_centres(spark, sf_dir), TOP_K)
 
 
+@query
+def vector_topk_many(spark, sf_dir):
+    """One row in twenty as a query against all rows, through the index, with the share of the exact result that was found."""
+    stored = corpus.vectors(spark, sf_dir)
+    asked = stored.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
+    found = vector_index.top_k_many(stored, asked, TOP_K)
+    return found.join(vector_index.recall(found, vectors.top_k(stored, asked, TOP_K)), "query_id")
+
+
+@query
+def fuzzy_search(spark, sf_dir):
+    """Indicator domains near the hosts of pages."""
+    domains = corpus.found(spark, sf_dir, types=["domain"]).select(F.col("ioc_value").alias("name"))
+    hosts = corpus.table(spark, sf_dir, "pages").select(F.lower(F.split_part("url", F.lit("/"), F.lit(3))).alias("name"))
+    return fuzzy.search(hosts.filter("name <> ''"), domains, "name", FUZZY_DISTANCE)
+
+
 @query
 def fuzzy_domain(spark, sf_dir):
     domains = corpus.found(spark, sf_dir, types=["domain"]).select(F.col("ioc_value").alias("name"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +13,12 @@ from gleaner.operators.versions import latest
 from gleaner.schemas import IOC_TABLE, OBJECT_TABLE, REGISTRY_TABLE, Versioned
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class StoredTable:
     """Parquet rows under ``path``. Writers only append; readers resolve versions."""
 
@@ -50,6 +57,14 @@ class StoredTable:
     def current(self) -> DataFrame:
         return latest(self.all_versions(), self.kind.keys, self.kind.version)
 
+    def rewrite(self, rows: DataFrame) -> None:
+        """Replace all rows. They are written beside the table first, so they may come from it."""
+        kept = f"{self.path}-{uuid.uuid4().hex}"
+        self._write(rows, kept, "errorifexists")
+        written = self.spark.read.schema(self.kind.schema).parquet(kept)
+        self._write(written, self.path, "overwrite")
+        remove_folder(self.spark, kept)
+
     def compact(self, path: str) -> StoredTable:
         """Write current rows to a new folder, range-partitioned by key so that lookups skip row groups.
 
