@@ -7,8 +7,8 @@ are alike; a pair whose sketches differ in more bits than a pair at the limit wo
 without its sets being read. Whoever is left is confirmed by the size of the intersection of the full sets.
 
 Documents with equal sets are one class from the start. Not all pairs of a large group are met: first every class is
-confirmed against the one in its buckets whose sketch is nearest, by few bands and then by all, and classes that hang together
-so far are not compared again; only then all pairs that are left, of different components, are screened and confirmed.
+confirmed against the one in its buckets of a few bands whose sketch is nearest, and classes that hang together by then are
+not compared again; only all pairs that are left, of different components, are screened by all bands and confirmed.
 Buckets longer than ``BLOCK`` are cut into blocks that meet two by two in tasks of their own.
 
 Two sets at the limit of 0.8 share no band with a chance of 3 in 10**9; more alike sets much less often.
@@ -40,7 +40,7 @@ SHINGLE = 4
 PERCENT = 80
 BANDS, WIDTH = 50, 5
 #: Bands in which nearest classes are looked for first.
-FIRST_BANDS = 4
+FIRST_BANDS = 10
 #: Bits of an odd sketch; samples and bits of a longer one.
 BITS = 512
 FINE_SAMPLES, FINE_BITS = 3000, 8192
@@ -343,17 +343,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     links = _confirmed(_pairs(members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("cid")), classes, limit, percent, True, block), narrow, classes, percent, shingle)
     links = stored(links, "links")
-    fine, fine_limit = None, most_bits(percent, FINE_SAMPLES, FINE_BITS)
-    for nearest in (True, False):
-        roots = components(links)
-        marked = members.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-        several = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
-        left = stored(marked.join(several, "key"), "mixed")
-        if left.isEmpty():
-            break
-        fine = fine if fine is not None else _finer(left, narrow, classes, shingle)
-        more = _confirmed(_pairs(left, fine, fine_limit, percent, nearest, block), narrow, classes, percent, shingle)
-        links = stored(links.union(more), "links")
+    roots = components(links)
+    marked = members.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
+    several = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
+    left = stored(marked.join(several, "key"), "mixed")
+    if not left.isEmpty():
+        pairs = _pairs(left, _finer(left, narrow, classes, shingle), most_bits(percent, FINE_SAMPLES, FINE_BITS), percent, False, block)
+        links = stored(links.union(_confirmed(pairs, narrow, classes, percent, shingle)), "links")
     roots = components(links)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
