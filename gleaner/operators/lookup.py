@@ -53,6 +53,16 @@ def validate_requests(requests: DataFrame, max_iocs: int = MAX_IOCS_PER_REQUEST)
     )
 
 
+def parse_requests(lines: DataFrame, body: str = "body") -> DataFrame:
+    """``lines`` with ``request_id`` and ``iocs`` from a JSON body, and ``error``: a body that is not one request is refused."""
+    schema = "request_id string, iocs array<string>, __corrupt string"
+    parsed = lines.withColumn("__request", F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__corrupt"}))
+    broken = F.col("__request").isNull() | F.col("__request.__corrupt").isNotNull()
+    return parsed.select(*(F.col(f"`{c}`") for c in lines.columns if c not in ("request_id", "iocs", "error")),
+                         F.when(~broken, F.col("__request.request_id")).alias("request_id"), F.when(~broken, F.col("__request.iocs")).alias("iocs"),
+                         F.when(broken, "Invalid request body").otherwise("").alias("error"))
+
+
 def check(
     asked: DataFrame, store: DataFrame, pick: str = "oldest", normalize: bool = False, wanted: DataFrame | None = None
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.versions import latest
@@ -28,6 +28,16 @@ def upsert(current: DataFrame, changes: DataFrame, version: str) -> DataFrame:
     return latest(current.unionByName(changes), ["id"], version)
 
 
+def with_payload(vectors: DataFrame, column: str = "payload") -> DataFrame:
+    """JSON payloads as variants; null where the text is no JSON."""
+    return vectors.withColumn(column, F.try_parse_json(column))
+
+
+def payload_value(path: str, kind: str, column: str = "payload") -> Column:
+    """What stands at a path of a variant payload, null if it is not there or not of that kind: for filters before a search."""
+    return F.try_variant_get(column, path, kind)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
     """Vectors of one dimension as rows of length one, or zero."""
     rows = np.stack([np.asarray(v, np.float64) for v in column]) if len(column) else np.zeros((0, 0))

@@ -12,7 +12,7 @@ from gleaner.functions.patterns import (
 from gleaner.functions.paths import CONTENT_TYPES, DEFAULT_CONTENT_TYPE, DEFAULT_EXTENSIONS
 from gleaner.operators.sketch import WORD_COLUMNS, layer_size
 from gleaner.operators.stats import HISTOGRAM_EDGES
-from gleaner.queries import ADDED_LINE, AUDIT_WINDOW_SECONDS, FIRST_LAYER, FUZZY_DISTANCE, PORTABLE_SKETCH, TOP_K
+from gleaner.queries import ADDED_LINE, AUDIT_WINDOW_SECONDS, FIRST_LAYER, FUZZY_DISTANCE, MAX_ASKED, PORTABLE_SKETCH, TOP_K
 from gleaner.schemas import SCAN_STATUSES
 
 
@@ -341,6 +341,7 @@ ORACLES: dict[str, str] = {
     "content_type": f"{_F} SELECT file_path, {_CONTENT_TYPE} AS content_type FROM files",
     "enum_violations": f"{_F} SELECT file_id, scan_status FROM (SELECT file_id, CASE state WHEN 'new' THEN 'pending' "
                        f"ELSE state END AS scan_status FROM files) WHERE scan_status NOT IN {_list(SCAN_STATUSES)}",
+    "changed_files_bucketed": f"{_RUN} SELECT file_id, file_path FROM changed",
     "changed_files": f"{_RUN} SELECT file_id, file_path FROM changed",
     "failed_files_again": f"{_RUN} SELECT file_id, file_path FROM files WHERE file_id IN (SELECT file_id FROM changed) "
                           "OR file_size % 5 = 0",
@@ -352,6 +353,10 @@ ORACLES: dict[str, str] = {
     "ioc_lookup": f"{_SRQ} SELECT {_STORE_COLUMNS} FROM current_store WHERE ioc_value IN (SELECT ioc FROM asked)",
     "ioc_check": _check("last_seen", "asked.ioc"),
     "ioc_check_latest": _check("last_seen DESC", "lower(asked.ioc)"),
+    "check_answers": f"SELECT request_id, position, ioc, found, type, source_file_id, '' AS error FROM ({_check('last_seen', 'asked.ioc').replace('FROM asked LEFT JOIN', f'FROM asked JOIN (SELECT request_id FROM requests WHERE len(iocs) <= {MAX_ASKED}) USING (request_id) LEFT JOIN')}) "
+                     f"UNION ALL SELECT request_id, NULL, NULL, NULL, NULL, NULL, 'Too many IOCs' FROM ({_RQ} SELECT request_id FROM requests WHERE len(iocs) > {MAX_ASKED})",
+    "check_requests_json": f"{_RQ} SELECT request_id AS line_id, CASE WHEN file_size % 5 = 0 THEN 0 ELSE len(iocs) END AS n_iocs, "
+                           "CASE WHEN file_size % 5 = 0 THEN 'Invalid request body' ELSE '' END AS error FROM requests JOIN files ON file_id = request_id",
     "ioc_check_bloom": _check("last_seen", "asked.ioc"),
     "file_context": f"WITH {_FOUND}{_REGISTRY_ONLY}{_RUN_ONLY}{_OBJECTS_ONLY} "
                     f"SELECT m.file_id, m.file_path, m.file_size, {_ts('m.last_modified')}, m.ioc_count, "
@@ -390,6 +395,13 @@ ORACLES: dict[str, str] = {
     "file_size_histogram": f"{_FD}, counts AS (SELECT f.file_id, count(ioc_value) AS ioc_count FROM files f "
                            "LEFT JOIN found d ON d.file_id = f.file_id GROUP BY 1) "
                            + _histogram("counts", "ioc_count", HISTOGRAM_EDGES["batch_insert_size"]),
+    "file_time_histogram": f"{_R} SELECT scan_status, le, bucket_count, total, round(sum_value, 3) AS sum_value FROM ("
+                           + _histogram("registry", "(file_size / 1000000.0::DOUBLE)", HISTOGRAM_EDGES["file_processing_seconds"], "scan_status") + ")",
+    "insert_time_histogram": f"{_FD}, counts AS (SELECT f.file_id, count(ioc_value) AS ioc_count FROM files f LEFT JOIN found d ON d.file_id = f.file_id GROUP BY 1) "
+                             "SELECT le, bucket_count, total, round(sum_value, 3) AS sum_value FROM ("
+                             + _histogram("counts", "(ioc_count / 1000.0::DOUBLE)", HISTOGRAM_EDGES["batch_insert_seconds"]) + ")",
+    "query_time_histogram": f"{_L} SELECT le, bucket_count, total, round(sum_value, 3) AS sum_value FROM ("
+                            + _histogram("log", "response_seconds", HISTOGRAM_EDGES["query_seconds"]) + ")",
     "api_totals": f"{_L} SELECT count(*) AS total_requests, round(avg(response_time_ms), 6) AS average_latency_ms FROM log",
     "ioc_hit_count": f"{_SRQ}, hits AS (SELECT ioc_value, count(*) AS n FROM "
                      "(SELECT unnest(list_concat(v, v[1:1])) AS ioc_value FROM per_file) GROUP BY 1) "
@@ -435,6 +447,18 @@ ORACLES: dict[str, str] = {
       )
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score
       FROM scored QUALIFY rank <= {TOP_K}""",
+    "vector_topk_filtered": f"""WITH centres AS (
+        SELECT label, list(x ORDER BY i) AS c FROM (
+          SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
+          FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2
+        ) GROUP BY 1
+      ), scored AS (
+        SELECT CAST(c.label AS BIGINT) AS query_id, vec_id AS id,
+               round(list_cosine_similarity(c.c, CAST(embedding AS DOUBLE[])), 6) AS score
+        FROM centres c, embeddings e WHERE e.label < 5 AND vec_id % 2 = 0
+      )
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, id, score
+      FROM scored QUALIFY rank <= {TOP_K}""",
     "vector_topk_many": f"""WITH scored AS (
         SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score
         FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0

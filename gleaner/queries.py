@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.paths import content_type, extension, has_extension, rfc3339
 from gleaner.operators import audit, extract, fuzzy, lookup, objects, sketch, stats, vector_index, vectors, versions
-from gleaner.plans.check import bulk_check, gated_check
+from gleaner.plans.check import answer, bulk_check, gated_check
 from gleaner.plans.ingest import changed_files, new_sightings, run_ingest, unchanged_files, verdicts
 from gleaner.schemas import IOC_TABLE, KEY_TABLE, REGISTRY_TABLE, SCAN_STATUSES
 from gleaner.session import apply_settings, shared_folder
@@ -23,7 +23,7 @@ from gleaner.sources import corpus
 from gleaner.sources.files import write_tree
 from gleaner.sources.logs import log_table
 from gleaner.sources.objects import object_store
-from gleaner.sources.tables import ioc_table, registry_table
+from gleaner.sources.tables import bucketed_registry, ioc_table, registry_table
 from gleaner.streaming import jobs
 
 RUN_TS = datetime(2024, 6, 1)
@@ -32,6 +32,7 @@ AUDIT_WINDOW_SECONDS = 86_400
 TOP_K = 10
 FUZZY_DISTANCE = 2
 CHUNK_BYTES = 1000
+MAX_ASKED = 10
 
 # Portable hashing, so that the SQL side can build and probe the same filter.
 PORTABLE_SKETCH = sketch.SketchSize(hashing="md5")
@@ -90,8 +91,8 @@ def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.store_objects(plain, _run_ts())
 
 
-def _asked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.explode_requests(corpus.requests(spark, sf_dir)).select(F.col("ioc").alias("ioc_value")).distinct()
+def _asked_values(seen: DataFrame) -> DataFrame:
+    return lookup.explode_requests(corpus.requests_of(seen)).select(F.col("ioc").alias("ioc_value")).distinct()
 
 
 # --- scans, sources, sinks -------------------------------------------------------------------------------------------
@@ -325,6 +326,14 @@ def q_changed_files(spark, sf_dir):
     return changed_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
 
 
+@query
+def changed_files_bucketed(spark, sf_dir):
+    """The changed files by a registry in buckets, which is not shuffled."""
+    registry = bucketed_registry(spark, _fresh(spark, "registry"))
+    registry.append(corpus.registry(spark, sf_dir))
+    return changed_files(corpus.files(spark, sf_dir).drop("content"), registry.all_versions()).select("file_id", "file_path")
+
+
 @query
 def skipped_files(spark, sf_dir):
     return unchanged_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir)).select("file_id", "file_path")
@@ -345,7 +354,8 @@ def check_request_valid(spark, sf_dir):
 
 @query
 def ioc_lookup(spark, sf_dir):
-    return _store_columns(lookup.lookup(corpus.ioc_store(spark, sf_dir), _asked_values(spark, sf_dir))).orderBy(
+    seen = corpus.extracted(spark, sf_dir)
+    return _store_columns(lookup.lookup(corpus.ioc_store_of(seen), _asked_values(seen))).orderBy(
         F.desc("last_seen"), "ioc_type", "ioc_value", "source_file_id"
     )
 
@@ -357,22 +367,40 @@ def _verdict_columns(df: DataFrame) -> DataFrame:
 
 @query
 def ioc_check(spark, sf_dir):
-    return _verdict_columns(bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir)))
+    seen = corpus.extracted(spark, sf_dir)
+    return _verdict_columns(bulk_check(corpus.requests_of(seen), corpus.ioc_store_of(seen)))
 
 
 @query
 def ioc_check_latest(spark, sf_dir):
-    return _verdict_columns(
-        bulk_check(corpus.requests(spark, sf_dir), corpus.ioc_store(spark, sf_dir), pick="latest", normalize=True)
-    )
+    seen = corpus.extracted(spark, sf_dir)
+    return _verdict_columns(bulk_check(corpus.requests_of(seen), corpus.ioc_store_of(seen), pick="latest", normalize=True))
+
+
+@query
+def check_answers(spark, sf_dir):
+    """Verdicts, and a row with the reason for each request that is refused."""
+    seen = corpus.extracted(spark, sf_dir)
+    rows = answer(corpus.requests_of(seen), corpus.ioc_store_of(seen), max_iocs=MAX_ASKED)
+    return rows.select("request_id", "position", "ioc", "found", "type", "source_file_id", "error")
+
+
+@query
+def check_requests_json(spark, sf_dir):
+    """Requests as lines of JSON, every fifth cut off."""
+    asked = corpus.requests(spark, sf_dir).join(corpus.files(spark, sf_dir).select(F.col("file_id").alias("request_id"), "file_size"), "request_id")
+    body = F.to_json(F.struct("request_id", "iocs"))
+    lines = asked.select(F.col("request_id").alias("line_id"), F.when(F.col("file_size") % 5 == 0, F.substring(body, 1, 90)).otherwise(body).alias("body"))
+    parsed = lookup.parse_requests(lines)
+    return parsed.select("line_id", F.coalesce(F.size("iocs"), F.lit(0)).cast("bigint").alias("n_iocs"), "error")
 
 
 @query
 def ioc_check_bloom(spark, sf_dir):
-    store = corpus.ioc_store(spark, sf_dir)
-    size = sketch.SketchSize()
+    seen = corpus.extracted(spark, sf_dir)
+    store, size = corpus.ioc_store_of(seen), sketch.SketchSize()
     gate = sketch.build(store, "ioc_value", size)
-    return _verdict_columns(gated_check(corpus.requests(spark, sf_dir), store, gate, size))
+    return _verdict_columns(gated_check(corpus.requests_of(seen), store, gate, size))
 
 
 @query
@@ -468,6 +496,27 @@ def file_size_histogram(spark, sf_dir):
     return stats.histogram(counts, F.col("ioc_count"), stats.HISTOGRAM_EDGES["batch_insert_size"])
 
 
+@query
+def file_time_histogram(spark, sf_dir):
+    """Processing times by status; a stand-in column, a microsecond per byte, so that SQL can check it."""
+    rows = corpus.registry(spark, sf_dir)
+    seconds = F.col("file_size") / F.lit(1_000_000.0)
+    return stats.histogram(rows, seconds, stats.HISTOGRAM_EDGES["file_processing_seconds"], by=["scan_status"]).withColumn("sum_value", F.round("sum_value", 3))
+
+
+@query
+def insert_time_histogram(spark, sf_dir):
+    """Times of batch inserts, a batch per file and a millisecond per indicator."""
+    seconds = F.col("ioc_count") / F.lit(1000.0)
+    return stats.histogram(ioc_count_per_file(spark, sf_dir), seconds, stats.HISTOGRAM_EDGES["batch_insert_seconds"]).withColumn("sum_value", F.round("sum_value", 3))
+
+
+@query
+def query_time_histogram(spark, sf_dir):
+    rows = stats.histogram(corpus.query_log(spark, sf_dir), F.col("response_seconds"), stats.HISTOGRAM_EDGES["query_seconds"])
+    return rows.withColumn("sum_value", F.round("sum_value", 3))
+
+
 @query
 def api_totals(spark, sf_dir):
     return stats.api_totals(corpus.query_log(spark, sf_dir)).withColumn(
@@ -477,7 +526,8 @@ def api_totals(spark, sf_dir):
 
 @query
 def ioc_hit_count(spark, sf_dir):
-    rows = stats.hit_counts(corpus.ioc_store(spark, sf_dir), corpus.check_log(spark, sf_dir))
+    seen = corpus.extracted(spark, sf_dir)
+    rows = stats.hit_counts(corpus.ioc_store_of(seen), corpus.check_log_of(seen))
     return rows.select("ioc_type", "ioc_value", "source_file_id", "hit_count")
 
 
@@ -551,8 +601,9 @@ def bloom_extend(spark, sf_dir):
 
 @query
 def bloom_probe(spark, sf_dir):
-    gate = sketch.build(corpus.ioc_store(spark, sf_dir), "ioc_value", PORTABLE_SKETCH)
-    return sketch.probe(_asked_values(spark, sf_dir), "ioc_value", gate, PORTABLE_SKETCH)
+    seen = corpus.extracted(spark, sf_dir)
+    gate = sketch.build(corpus.ioc_store_of(seen), "ioc_value", PORTABLE_SKETCH)
+    return sketch.probe(_asked_values(seen), "ioc_value", gate, PORTABLE_SKETCH)
 
 
 @query
@@ -608,6 +659,15 @@ def vector_topk(spark, sf_dir):
     return vectors.top_k(corpus.vectors(spark, sf_dir), corpus.label_centres(spark, sf_dir), TOP_K)
 
 
+@query
+def vector_topk_filtered(spark, sf_dir):
+    """The nearest rows whose payload says an even shard and a label under 5."""
+    payload = F.to_json(F.struct(F.col("payload").cast("int").alias("label"), F.struct((F.col("id") % 4).alias("shard")).alias("at")))
+    stored = vectors.with_payload(corpus.vectors(spark, sf_dir).withColumn("payload", payload))
+    chosen = stored.filter((vectors.payload_value("$.label", "int") < 5) & (vectors.payload_value("$.at.shard", "bigint") % 2 == 0))
+    return vectors.top_k(chosen, corpus.label_centres(spark, sf_dir), TOP_K)
+
+
 @query
 def vector_topk_many(spark, sf_dir):
     """One row in twenty as a query against all rows, through the index, with the share of the exact result that was found."""

@@ -13,13 +13,15 @@ Four families of files, each a function of a table's rows:
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import file_id
-from gleaner.operators.extract import scan, spread, with_scan_result
+from gleaner.operators.extract import explode_result, scan, spread, with_scan_result
+from gleaner.session import shared_folder
 
 BASE_TIME = "2024-01-01 00:00:00"
 
@@ -123,10 +125,25 @@ def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return scan(files(spark, sf_dir), ["file_id"], **options)
 
 
+def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file_id, last_modified, state, iocs)`` of all files, worked out once and stored: for queries that use it several times."""
+    path = f"{shared_folder(spark)}/extracted-{uuid.uuid4().hex}"
+    with_scan_result(files(spark, sf_dir)).select("file_id", "last_modified", "state", "iocs").write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @lru_cache(maxsize=16)
 def ioc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicator rows of an earlier run, all versions: ``known`` files were seen again a day later."""
-    seen = scan(files(spark, sf_dir), ["file_id", "last_modified", "state"])
+    return _store_rows(scan(files(spark, sf_dir), ["file_id", "last_modified", "state"]))
+
+
+def ioc_store_of(seen: DataFrame) -> DataFrame:
+    """As ``ioc_store``, from the stored extraction."""
+    return _store_rows(explode_result(seen, ["file_id", "last_modified", "state"]))
+
+
+def _store_rows(seen: DataFrame) -> DataFrame:
     versions = seen.withColumn(
         "version", F.explode(F.when(F.col("state") == "known", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     )
@@ -180,19 +197,21 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _values_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(file_id, v)``: the sorted distinct values of each file, from one pass without a shuffle."""
-    scanned = with_scan_result(files(spark, sf_dir))
-    return scanned.select("file_id", F.array_sort(F.array_distinct(F.flatten(F.map_values("iocs")))).alias("v"))
+def _values_per_file(seen: DataFrame) -> DataFrame:
+    """``(file_id, v)``: the sorted distinct values of each file, without a shuffle."""
+    return seen.select("file_id", F.array_sort(F.array_distinct(F.flatten(F.map_values("iocs")))).alias("v"))
 
 
-@lru_cache(maxsize=16)
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests_of(with_scan_result(files(spark, sf_dir)))
+
+
+def requests_of(seen: DataFrame) -> DataFrame:
     """``(request_id, iocs)``: per file its values, the same upper-cased, the first one again, and an absent one.
 
     A file without values asks for the absent one only.
     """
-    return _values_per_file(spark, sf_dir).select(
+    return _values_per_file(seen).select(
         F.col("file_id").alias("request_id"),
         F.concat(
             "v", F.transform("v", lambda x: F.upper(x)), F.slice("v", 1, 1), F.array(F.concat(F.lit("absent-"), "file_id"))
@@ -200,10 +219,13 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=16)
 def check_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check_log_of(with_scan_result(files(spark, sf_dir)))
+
+
+def check_log_of(seen: DataFrame) -> DataFrame:
     """``(query_id, iocs_queried, iocs_found)``: per file its values were asked for, the first one twice."""
-    return _values_per_file(spark, sf_dir).select(
+    return _values_per_file(seen).select(
         F.col("file_id").alias("query_id"),
         F.concat("v", F.slice("v", 1, 1), F.array(F.concat(F.lit("absent-"), "file_id"))).alias("iocs_queried"),
         F.concat("v", F.slice("v", 1, 1)).alias("iocs_found"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Sequence
 
@@ -86,3 +87,34 @@ def ioc_table(spark: SparkSession, root: str) -> StoredTable:
 
 def object_table(spark: SparkSession, root: str) -> StoredTable:
     return StoredTable(spark, f"{root}/objects", OBJECT_TABLE)
+
+
+class BucketedTable(StoredTable):
+    """A table in buckets by its keys, sorted in each. What is joined or grouped by the keys is not shuffled on this side.
+
+    Buckets are known to the catalog only, so a session names the table once; the rows are those under ``path``.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, kind: Versioned, buckets: int = 64):
+        super().__init__(spark, path, kind)
+        self.buckets, self.name = buckets, f"bucketed_{hashlib.md5(path.encode()).hexdigest()}"
+
+    def _named(self) -> str:
+        if not self.spark.catalog.tableExists(self.name):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.kind.schema)
+            keys, place = ", ".join(self.kind.keys), self.path.replace("'", "\\'")
+            self.spark.sql(f"CREATE TABLE {self.name} ({columns}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{place}'")
+        return self.name
+
+    def append(self, rows: DataFrame) -> None:
+        rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in self.kind.schema))
+        name, keys = self._named(), self.kind.keys
+        dealt = rows.repartition(self.buckets, *keys).sortWithinPartitions(*keys)  # one file per bucket
+        dealt.write.mode("append").format("parquet").bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+    def all_versions(self) -> DataFrame:
+        return self.spark.table(self._named())
+
+
+def bucketed_registry(spark: SparkSession, root: str, buckets: int = 64) -> BucketedTable:
+    return BucketedTable(spark, f"{root}/file_registry_bucketed", REGISTRY_TABLE, buckets)

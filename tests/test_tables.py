@@ -145,3 +145,58 @@ def test_a_filter_of_nothing(spark):
     series, items = sketch.grow(None, None, spark.createDataFrame([(None,)], "x string"), "x", first)
     assert series.count() == 0 and items.count() == 0
     assert sketch.series_info(series, items, first).first()["items_inserted"] == 0
+
+
+def test_a_bucketed_registry_is_not_shuffled(spark, tmp_path):
+    from gleaner.plans.ingest import changed_files
+    from gleaner.schemas import REGISTRY_TABLE
+    from gleaner.sources.tables import BucketedTable, StoredTable
+
+    plain = StoredTable(spark, str(tmp_path / "plain"), REGISTRY_TABLE)
+    table = BucketedTable(spark, str(tmp_path / "it's bucketed"), REGISTRY_TABLE, buckets=4)
+    assert table.all_versions().count() == 0
+    at = datetime(2024, 1, 1)
+    for n in (1, 2):  # two runs, so that a key has versions in two files of its bucket
+        rows = spark.createDataFrame([(f"f{i}", f"/f{i}", 1, at, "misc" if i % 3 else "failed", 0, "", "", at, datetime(2024, 1, n)) for i in range(0, 40, n)], REGISTRY_TABLE.schema)
+        plain.append(rows)
+        table.append(rows)
+    files = spark.createDataFrame([(f"f{i}", f"/f{i}", 1, at) for i in range(50)], "file_id string, file_path string, file_size long, last_modified timestamp")
+    want = sorted(r["file_id"] for r in changed_files(files, plain.all_versions()).collect())
+    found = changed_files(files, table.all_versions())
+    assert sorted(r["file_id"] for r in found.collect()) == want
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        latest_plan = table.current()._jdf.queryExecution().executedPlan().toString()
+        join_plan = changed_files(files.hint("merge"), table.all_versions())._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "Exchange" not in latest_plan
+    assert join_plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in join_plan  # of the files only
+    other = spark.newSession()
+    assert BucketedTable(other, str(tmp_path / "it's bucketed"), REGISTRY_TABLE, buckets=4).current().count() == 40
+
+
+def test_requests_are_all_answered(spark):
+    from gleaner.operators import lookup
+    from gleaner.plans.check import answer
+    from gleaner.schemas import IOC_TABLE
+
+    at = datetime(2024, 1, 1)
+    store = spark.createDataFrame([("1.2.3.4", "ipv4", "f", "Unknown", 50, at, at, 0, None, [])], IOC_TABLE.schema)
+    bodies = ['{"request_id": "a", "iocs": ["1.2.3.4", "x"]}', '{"request_id": "b", "iocs": []}', '{"request_id": "c"', "", None, '{"request_id": "d", "iocs": ["1","2","3","4"]}', '[1]', '{"iocs": "no list", "request_id": "e"}']
+    lines = spark.createDataFrame(list(enumerate(bodies)), "n int, body string")
+    parsed = lookup.parse_requests(lines)
+    assert {r["n"]: r["error"] for r in parsed.collect() if r["error"]} == {n: "Invalid request body" for n in (2, 3, 4, 6, 7)}
+    got = answer(parsed, store, max_iocs=3).collect()
+    assert sorted((r["request_id"] or "", r["ioc"] or "", r["error"]) for r in got if r["error"]) == sorted(
+        [("", "", "Invalid request body")] * 5 + [("b", "", "No IOCs provided"), ("d", "", "Too many IOCs")])
+    assert sorted((r["request_id"], r["ioc"], r["found"]) for r in got if not r["error"]) == [("a", "1.2.3.4", True), ("a", "x", False)]
+
+
+def test_payloads_are_filtered_before_the_search(spark):
+    from gleaner.operators import vectors
+
+    rows = [(i, [1.0, float(i)], p) for i, p in enumerate(['{"label": 3, "at": {"x": "a"}}', '{"label": "3"}', "no json", None, '{"label": 4}', "[]"])]
+    held = vectors.with_payload(spark.createDataFrame(rows, "id long, vector array<double>, payload string"))
+    assert [r["id"] for r in held.filter(vectors.payload_value("$.label", "int") >= 3).orderBy("id").collect()] == [0, 1, 4]
+    assert [r["id"] for r in held.filter(vectors.payload_value("$.at.x", "string") == "a").collect()] == [0]
