@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.session import written
+
 # The reference's default limit and window.
 DEFAULT_LIMIT = 1000
 DEFAULT_WINDOW_SECONDS = 60
@@ -104,7 +106,8 @@ def anchored_windows(
     second known, each block counts its windows on its own.
     """
     block_seconds = max(_DAY, 4 * window_seconds)
-    seconds = per_second(requests, key, time).withColumn("block", F.floor(F.col("second") / block_seconds))
+    # Used twice: the log is read, and shuffled, once.
+    seconds = written(per_second(requests, key, time).withColumn("block", F.floor(F.col("second") / block_seconds)), "seconds")
 
     def ends(group: dict[str, np.ndarray]) -> Iterator[tuple]:
         at, block = group["second"], int(group["block"][0])

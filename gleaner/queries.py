@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from gleaner.functions.paths import content_type, extension, has_extension, rfc3339
 from gleaner.operators import audit, extract, fuzzy, lookup, objects, sketch, stats, vector_index, vectors, versions
 from gleaner.plans.check import answer, bulk_check, gated_check
-from gleaner.plans.ingest import changed_files, new_sightings, run_ingest, unchanged_files, verdicts
+from gleaner.plans.ingest import changed_files, new_sightings, run_ingest, scanned_changes, unchanged_files, verdicts
 from gleaner.schemas import IOC_TABLE, KEY_TABLE, REGISTRY_TABLE, SCAN_STATUSES
-from gleaner.session import apply_settings, shared_folder
+from gleaner.session import apply_settings, shared_folder, written
 from gleaner.sources import corpus
 from gleaner.sources.files import write_tree
 from gleaner.sources.logs import log_table
@@ -78,11 +78,11 @@ def _store_columns(df: DataFrame) -> DataFrame:
 def _this_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry rows of a run over the changed files.
 
-    The inputs are table rows that hold whole texts. Counting inside the row first leaves narrow rows for the change
-    join, so texts are never shuffled. (A directory tree is listed and joined before it is read: ``run_ingest``.)
+    The inputs are table rows that hold whole texts. Only those of changed files are scanned, where they lie. (A directory
+    tree is listed and joined before it is read: ``run_ingest``.)
     """
-    counted = extract.with_ioc_count(corpus.files(spark, sf_dir)).drop("content")
-    return verdicts(changed_files(counted, corpus.registry(spark, sf_dir)), _run_ts())
+    counted = scanned_changes(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir), lambda rows: extract.with_ioc_count(rows).drop("content"))
+    return verdicts(counted, _run_ts())
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -453,15 +453,15 @@ def ioc_daily_live(spark, sf_dir):
 
 @query
 def ingest_summary(spark, sf_dir):
-    skipped = unchanged_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir))
+    skipped = unchanged_files(corpus.files(spark, sf_dir).select("file_id", "last_modified"), corpus.registry(spark, sf_dir))
     return stats.run_summary(_this_run(spark, sf_dir), skipped)
 
 
 @query
 def run_counters(spark, sf_dir):
-    changed = changed_files(corpus.files(spark, sf_dir).drop("content"), corpus.registry(spark, sf_dir))
-    found = corpus.found(spark, sf_dir).join(changed.select("file_id"), "file_id", "left_semi")
-    return stats.labelled_counters(_this_run(spark, sf_dir), found)
+    seen = written(scanned_changes(corpus.files(spark, sf_dir), corpus.registry(spark, sf_dir), lambda rows: extract.with_scan_result(rows).drop("content")), "seen")
+    counted = seen.withColumn("ioc_count", F.size(F.flatten(F.map_values("iocs"))).cast("bigint"))
+    return stats.labelled_counters(verdicts(counted, _run_ts()), extract.explode_result(seen, ["file_id"]))
 
 
 @query
@@ -758,4 +758,4 @@ def stream_check(spark, sf_dir):
     jobs.check_stream(
         asked, corpus.ioc_store(spark, sf_dir), f"{folder}/verdicts", f"{folder}/checkpoint"
     ).awaitTermination()
-    return spark.read.parquet(f"{folder}/verdicts")
+    return spark.read.parquet(f"{folder}/verdicts").select("request_id", "ioc", "found", "type", "source_file_id")

@@ -13,7 +13,6 @@ Four families of files, each a function of a table's rows:
 
 from __future__ import annotations
 
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.paths import file_id
 from gleaner.operators.extract import explode_result, scan, spread, with_scan_result
-from gleaner.session import shared_folder
+from gleaner.session import written
 
 BASE_TIME = "2024-01-01 00:00:00"
 
@@ -127,9 +126,7 @@ def found(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(file_id, last_modified, state, iocs)`` of all files, worked out once and stored: for queries that use it several times."""
-    path = f"{shared_folder(spark)}/extracted-{uuid.uuid4().hex}"
-    with_scan_result(files(spark, sf_dir)).select("file_id", "last_modified", "state", "iocs").write.parquet(path)
-    return spark.read.parquet(path)
+    return written(with_scan_result(files(spark, sf_dir)).select("file_id", "last_modified", "state", "iocs"), "extracted")
 
 
 @lru_cache(maxsize=16)

@@ -237,3 +237,34 @@ def test_index_finds_most_and_all_in_one_bucket(spark):
     few = vector_index.top_k_many(stored, asked, 10, bucket_rows=10_000)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, exact.collect()))
     assert vector_index.top_k_many(stored, asked.limit(0), 10).count() == 0 and vector_index.top_k_many(stored.limit(0), asked, 10).count() == 0
+
+
+def test_a_checked_batch_is_replaced_when_it_runs_again(spark, tmp_path):
+    from gleaner.schemas import IOC_TABLE
+
+    folder, at = str(tmp_path), datetime(2024, 1, 1)
+    store = spark.createDataFrame([("1.1.1.1", "ipv4", f, "Unknown", 50, at, at + timedelta(days=d), 0, None, []) for f, d in (("x", 0), ("x", 2), ("y", 1))], IOC_TABLE.schema)
+    rows = spark.createDataFrame([("r", "1.1.1.1"), ("r", "1.1.1.1"), ("s", "2.2.2.2"), ("t", None)], "request_id string, ioc string")
+    rows.write.parquet(f"{folder}/in")
+    asked = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    for _ in range(2):
+        jobs.check_stream(asked, store, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        got = sorted((r["request_id"], r["ioc"], r["found"], r["source_file_id"]) for r in spark.read.parquet(f"{folder}/out").collect())
+        assert got == [("r", "1.1.1.1", True, "y")] * 2 + [("s", "2.2.2.2", False, None), ("t", None, False, None)]
+        os.remove(f"{folder}/checkpoint/commits/0")  # as if the run had ended before its batch was done
+        for left in os.listdir(f"{folder}/checkpoint/commits"):
+            os.remove(f"{folder}/checkpoint/commits/{left}")
+
+
+def test_only_changed_contents_are_scanned(spark, monkeypatch):
+    from gleaner.operators.extract import with_ioc_count
+    from gleaner.plans import ingest
+    from gleaner.schemas import REGISTRY_TABLE
+
+    at = datetime(2024, 1, 1)
+    files_ = spark.createDataFrame([(f"f{i}", f"/f{i}", 7, at, f"1.2.3.{i}") for i in range(6)], "file_id string, file_path string, file_size long, last_modified timestamp, content string")
+    registry = spark.createDataFrame([(f"f{i}", f"/f{i}", 7, at, "misc", 0, "", "", at, at) for i in range(4)], REGISTRY_TABLE.schema)
+    for bound in (10, -1):  # ids sent to the contents, or results joined
+        monkeypatch.setattr(ingest, "BROADCAST_FILES", bound)
+        got = ingest.scanned_changes(files_, registry, with_ioc_count)
+        assert sorted((r["file_id"], r["ioc_count"]) for r in got.collect()) == [("f4", 1), ("f5", 1)]
