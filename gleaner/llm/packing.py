@@ -14,17 +14,13 @@ itself; null ids are carried along; an empty table gives an empty table. Other c
 
 from __future__ import annotations
 
-import json
 import os
-import re
-import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +30,8 @@ from gleaner.llm.common import as_bytes, pieces
 LENGTH = 2048
 END_ID = 1
 GROUP_TOKENS = 4 << 20
-#: Bytes of words and their ids that a task remembers, twice over, and a third as many of parts of words; ``ENTRY`` bytes go with each.
-REMEMBERED_BYTES = 32 << 20
+#: Bytes of pieces of text and their ids that a task remembers, twice over; ``ENTRY`` bytes go with each.
+REMEMBERED_BYTES = 64 << 20
 ENTRY = 170
 #: Bits of a sequence id that count sequences within a partition.
 SEQUENCE_BITS = 40
@@ -118,66 +114,33 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
-def _splitter(path: str) -> Callable[[bytes], list[bytes]] | None:
-    """How a word is cut into pieces that the tokenizer encodes each by itself, if the file says that it does.
-
-    It does if a pattern cuts the normalised text before anything else looks at it. Normal forms do not change ASCII, so an ASCII
-    word is cut by the pattern in lower case; of another word only a run of ASCII marks at its end is cut off.
-    """
-    with open(path, encoding="utf-8") as source:
-        parts = json.load(source)
-    steps = [(s["type"], s.get("pattern", {}).get("Regex"), s.get("content")) for s in (parts.get("normalizer") or {}).get("normalizers", [])]
-    cuts = (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    plain = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-    if steps != [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)] or len(cuts) != 2 or cuts[1] != plain or parts.get("post_processor"):
-        return None
-    if cuts[0].get("type") != "Split" or not cuts[0].get("invert") or cuts[0].get("behavior") != "Removed":
-        return None
-    pattern, tail = regex.compile(cuts[0]["pattern"]["Regex"]), re.compile(rb"[!-&(-/:-@\[-`{-~]+\Z")
-    letter = regex.compile(r"[\p{L}\p{N}]\Z")  # else the marks are one piece with what stands before them
-    special = re.compile("|".join(re.escape(t["content"]) for t in parts.get("added_tokens", [])) or r"(?!)")
-
-    def split(word: bytes) -> list[bytes]:
-        if word.isascii():
-            text = word.decode().lower()
-            return [word] if special.search(text) else [p.encode() for p in pattern.findall(text)]
-        end = tail.search(word)
-        if not end or b"<|" in word:
-            return [word]
-        head = unicodedata.normalize("NFC", word[:end.start()].decode()).lower()
-        return [word[:end.start()], word[end.start():]] if letter.search(head) else [word]
-
-    return split
-
-
 def _encoder(path: str, split: bool) -> Callable[[list[bytes]], list[bytes]]:
     """Texts to their ids as little-endian unsigned 32-bit numbers. What it remembers goes with it, at the task's end."""
     tokenizer = _tokenizer(path)
-    cut = _splitter(path) if split else None
-    words_known, pieces_known = Remembered(), Remembered(REMEMBERED_BYTES // 3)
+    remembered = Remembered()
 
     def ids(texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(memory: Remembered, new: list[bytes]) -> None:
-        for at in range(0, len(new), 10_000):
-            part = new[at:at + 10_000]
-            memory.add(dict(zip(part, ids([w.decode() for w in part]))))
+    def ids_of_words(words: list[str]) -> list[bytes]:
+        """As ``ids``, in one go: a token belongs to the word in which it begins."""
+        found = tokenizer.encode("\n".join(words), add_special_tokens=False)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        of = np.searchsorted(begins, np.fromiter((start for start, _ in found.offsets), np.int64, len(found)), "right") - 1
+        if (of[1:] < of[:-1]).any():
+            return ids(words)
+        raw, ends = np.array(found.ids, "<u4").tobytes(), (4 * np.searchsorted(of, np.arange(len(words) + 1))).tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:])]
 
     def encode(texts: list[bytes]) -> list[bytes]:
         if not split:
             return ids([t.decode() for t in texts])
         words = [t.split() for t in texts]
-        new = words_known.missing(set().union(*words))
-        if cut is None:
-            learn(words_known, new)
-        else:
-            parts = list(map(cut, new))
-            learn(pieces_known, pieces_known.missing(set().union(*parts)))
-            known = pieces_known.young.__getitem__
-            words_known.add({w: b"".join(map(known, p)) for w, p in zip(new, parts)})
-        return [b"".join(map(words_known.young.__getitem__, w)) for w in words]
+        new = remembered.missing(set().union(*words))
+        for at in range(0, len(new), 10_000):
+            part = new[at:at + 10_000]
+            remembered.add(dict(zip(part, ids_of_words([w.decode() for w in part]))))
+        return [b"".join(map(remembered.young.__getitem__, w)) for w in words]
 
     return encode
 
