@@ -90,10 +90,15 @@ def main() -> None:
     run("vector_topk", lambda: vectors.top_k(corpus.vectors(spark, SF_DIR), corpus.label_centres(spark, SF_DIR), q.TOP_K))
     registered("latency_histogram")
     registered("request_counters")
+    headline = list(times)
+    # Queries of later rounds, once each and beside the total, which stays comparable.
+    for name in ("vector_topk_many", "vector_topk_filtered", "fuzzy_search", "bloom_grow", "object_read_range", "object_delete", "query_log_append",
+                 "query_log_compacted", "changed_files_bucketed", "check_answers", "check_requests_json", "stream_rate_limit", "stream_check"):
+        timed(name, lambda n=name: q.QUERIES[n](spark, SF_DIR).write.format("noop").mode("overwrite").save(), runs=1)
 
     print(
         json.dumps(
-            {"metric": "total_best_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
+            {"metric": "total_best_seconds", "value": round(sum(times[name] for name in headline), 3), "unit": "sec", "queries": times,
              "sf": os.path.basename(SF_DIR.rstrip("/")), "cpus": int(CPUS), "runs": RUNS}
         )
     )
