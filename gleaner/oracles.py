@@ -12,7 +12,7 @@ from gleaner.functions.patterns import (
 from gleaner.functions.paths import CONTENT_TYPES, DEFAULT_CONTENT_TYPE, DEFAULT_EXTENSIONS
 from gleaner.operators.sketch import WORD_COLUMNS, layer_size
 from gleaner.operators.stats import HISTOGRAM_EDGES
-from gleaner.queries import ADDED_LINE, AUDIT_WINDOW_SECONDS, FIRST_LAYER, FUZZY_DISTANCE, MAX_ASKED, PORTABLE_SKETCH, TOP_K
+from gleaner.queries import ADDED_LINE, AUDIT_WINDOW_SECONDS, FIRST_LAYER, FUZZY_DISTANCE, MAX_ASKED, PERCENT_PATTERN, PORTABLE_SKETCH, TOP_K
 from gleaner.schemas import SCAN_STATUSES
 
 
@@ -329,6 +329,13 @@ ORACLES: dict[str, str] = {
                        + " OR ".join(f"starts_with(ioc_value, '{p}')" for p in PRIVATE_IPV4_PREFIXES) + ")",
     "ioc_domain_filtered": f"{_F} SELECT file_id, ioc_value FROM ({_PER_TYPE['domain']}) "
                            f"WHERE ioc_value NOT IN {_list(PLACEHOLDER_DOMAINS)}",
+    "ioc_ipv6_whole": f"""{_F}, tokens AS (SELECT file_id, unnest(string_split_regex(content, '[^0-9A-Za-z_:.]+')) AS t FROM files),
+      runs AS (SELECT file_id, regexp_extract(t, '^([0-9a-fA-F:]*::[0-9a-fA-F:]*)(?:[.].*)?$', 1) AS v FROM tokens WHERE contains(t, '::'))
+      SELECT file_id, v AS ioc_value FROM runs WHERE length(v) BETWEEN 2 AND 39
+        AND regexp_matches(v, '^(?:[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}})*)?::(?:[0-9a-fA-F]{{1,4}}(?::[0-9a-fA-F]{{1,4}})*)?$')
+        AND len(regexp_extract_all(v, '[0-9a-fA-F]+')) <= 7 AND NOT regexp_matches(v, {_P['ipv6_mapped']})
+      UNION SELECT file_id, ioc_value FROM ({_matches("ipv6", condition=f"NOT regexp_matches(v, {_P['ipv6_mapped']})", pattern=f"regexp_extract_all(content, {_P['ipv6_full']})")})""",
+    "ioc_custom_rule": f"{_F} SELECT DISTINCT file_id, 'percent' AS ioc_type, v AS ioc_value FROM (SELECT file_id, unnest(regexp_extract_all(content, {_q(PERCENT_PATTERN)})) AS v FROM files)",
     "ioc_scan_all": f"{_FD} SELECT file_id, ioc_type, ioc_value FROM found",
     "ioc_scan_map": f"{_FD} SELECT f.file_id, coalesce(string_agg(DISTINCT ioc_type, ' ' ORDER BY ioc_type), '') AS types, "
                     "count(ioc_value) AS ioc_count FROM files f LEFT JOIN found d ON d.file_id = f.file_id GROUP BY 1",

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.paths import content_type, extension, has_extension, rfc3339
+from gleaner.functions.patterns import WHOLE_IPV6_RULES, PatternRule
 from gleaner.operators import audit, extract, fuzzy, lookup, objects, sketch, stats, vector_index, vectors, versions
 from gleaner.plans.check import answer, bulk_check, gated_check
 from gleaner.plans.ingest import changed_files, new_sightings, run_ingest, scanned_changes, unchanged_files, verdicts
@@ -273,6 +274,22 @@ def ioc_domain_filtered(spark, sf_dir):
     return _one_type("domain", exclude_placeholder_domains=True)(spark, sf_dir)
 
 
+@query
+def ioc_ipv6_whole(spark, sf_dir):
+    """IPv6 addresses with the rule that returns a compressed one whole."""
+    return corpus.found(spark, sf_dir, types=["ipv6"], rules=WHOLE_IPV6_RULES).select("file_id", "ioc_value")
+
+
+#: A rule of a user: percentages, which no mark of an indicator announces, so the whole text is searched.
+PERCENT_PATTERN = "[0-9]+(?:\\.[0-9]+)?%"
+
+
+@query
+def ioc_custom_rule(spark, sf_dir):
+    rule = PatternRule("percent", lambda text: F.regexp_extract_all(text, F.lit(PERCENT_PATTERN), F.lit(0)), gate="%", candidates_only=False)
+    return corpus.found(spark, sf_dir, rules=(rule,))
+
+
 @query
 def ioc_scan_all(spark, sf_dir):
     return corpus.found(spark, sf_dir)
