@@ -7,8 +7,8 @@ are alike; a pair whose sketches differ in more bits than a pair at the limit wo
 without its sets being read. Whoever is left is confirmed by the size of the intersection of the full sets.
 
 Documents with equal sets are one class from the start. Not all pairs of a large group are met: first every class is
-confirmed against the one in its buckets of a few bands whose sketch is nearest, and classes that hang together by then are
-not compared again; only all pairs that are left, of different components, are screened by all bands and confirmed.
+confirmed against the one in its buckets whose sketch is nearest, by few bands and then by all, and classes that hang together
+by then are not compared again; only all pairs that are left, of different components, are screened and confirmed.
 Buckets longer than ``BLOCK`` are cut into blocks that meet two by two in tasks of their own.
 
 Two sets at the limit of 0.8 share no band with a chance of 3 in 10**9; more alike sets much less often.
@@ -47,6 +47,8 @@ FINE_SAMPLES, FINE_BITS = 3000, 8192
 BLOCK = 4096
 #: Members that are confirmed against one class in one task.
 CHUNK = 256
+#: Links that one task contracts: 16 bytes each.
+FOREST_LINKS = 1_000_000
 #: Samples of shingles that are taken at once.
 STEP = 1 << 18
 #: Buckets of at most so many classes are compared together, by size.
@@ -315,6 +317,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: i
     return dealt.mapInArrow(task, "u bigint, v bigint").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a task's links ``(u, v)``, each node with the smallest one that it hangs together with."""
+    held = [np.zeros((2, 0), np.int64), *(np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches)]
+    u, v = np.concatenate(held, axis=1)
+    nodes, ends = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = ends[:len(u)], ends[len(u):]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        after = root.copy()
+        for side in (a, b, root[a], root[b]):
+            np.minimum.at(after, side, low)
+        after = after[after]
+        if (after == root).all():
+            break
+        root = after
+    for at in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at:at + 100_000]), pa.array(nodes[root[at:at + 100_000]])], names=["node", "root"])
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    """``(node, root)`` of all that is linked. Tasks contract ``FOREST_LINKS`` links each; if there are more, rounds join what is left."""
+    parts = -(-links.count() // FOREST_LINKS)
+    stars = links.repartition(max(1, parts)).mapInArrow(_forest, "node bigint, root bigint")
+    return stored(stars, "roots") if parts <= 1 else components(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
 def _finer(members: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """``(cid, n, sketch)`` of the classes of ``members``, with longer sketches."""
     needs = stored(classes.select("cid", "n", "tag").join(members.select("cid").distinct(), "cid", "left_semi"), "compared")
@@ -343,14 +372,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
 
     links = _confirmed(_pairs(members.filter(F.col("band") < FIRST_BANDS).withColumn("comp", F.col("cid")), classes, limit, percent, True, block), narrow, classes, percent, shingle)
     links = stored(links, "links")
-    roots = components(links)
-    marked = members.join(roots, F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
-    several = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
-    left = stored(marked.join(several, "key"), "mixed")
-    if not left.isEmpty():
-        pairs = _pairs(left, _finer(left, narrow, classes, shingle), most_bits(percent, FINE_SAMPLES, FINE_BITS), percent, False, block)
-        links = stored(links.union(_confirmed(pairs, narrow, classes, percent, shingle)), "links")
-    roots = components(links)
+    fine, limit = None, most_bits(percent, FINE_SAMPLES, FINE_BITS)
+    for nearest in (True, False):
+        marked = members.join(_roots(links), F.col("cid") == F.col("node"), "left").select("key", "cid", F.coalesce("root", "cid").alias("comp"))
+        several = marked.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key", "size")
+        left = stored(marked.join(several, "key"), "mixed")
+        if left.isEmpty():
+            break
+        fine = fine if fine is not None else _finer(left, narrow, classes, shingle)
+        links = stored(links.union(_confirmed(_pairs(left, fine, limit, percent, nearest, block), narrow, classes, percent, shingle)), "links")
+    roots = _roots(links)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")
     out = rows.select("doc_id", "n", "digest").join(named, "digest", "left")

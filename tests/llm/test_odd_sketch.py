@@ -69,9 +69,10 @@ def _brute(rows, percent=80, shingle=4):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [odd_sketch.BLOCK, 20])
-def test_against_all_pairs(spark, block):
+@pytest.mark.parametrize("block,links", [(odd_sketch.BLOCK, odd_sketch.FOREST_LINKS), (20, 30)])
+def test_against_all_pairs(spark, monkeypatch, block, links):
     ship_package(spark)
+    monkeypatch.setattr(odd_sketch, "FOREST_LINKS", links)
     rows = _texts()
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     got = odd_sketch.near_duplicates(docs, block=block)
