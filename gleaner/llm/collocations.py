@@ -4,9 +4,9 @@ Texts are made shards of numbered words of one language, once, which are stored.
 transforms of its sequence and of the reverse, in wavelet matrices, sorted as deep as the longest phrase. Extending intervals
 step by step, to the right and to the left, enumerates its n-grams with their counts, which are summed over all shards.
 
-A phrase can be frequent only if its first and its last part of one word less are. So words are counted first; then, for
-each length but the longest, phrases of words that passed are counted by a part of their hash, and what reaches the minimum
-passes; last, phrases that can be frequent are counted as they are. What passed goes to the tasks as a bitmap of at most
+A phrase can be frequent only if its first and its last part of one word less are. So words are counted first; then, length by
+length, phrases whose parts passed are counted by a part of their hash, and what reaches the minimum passes; last, phrases
+that passed are counted as they are. What passed goes to the tasks as a bitmap of at most
 16 MB. Equal hashes, or a bitmap too small, let more phrases through and lose none.
 
 Words are what lies between blanks and tabs; phrases never go over one of ``BREAKS``. Everything is counted per language.
@@ -39,7 +39,7 @@ LONGEST = 3
 LEAST = 10
 COVERED = 50
 TOP = 2000
-SHARD_WORDS = 500_000
+SHARD_WORDS = 1_000_000
 #: Words whose phrases are enumerated at once.
 STEP = 20_000
 #: Bytes of text that are made words at once.
@@ -336,7 +336,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.filter("not rare").select("lang", "phrase", F.lit(1).alias("words"), "n")
     words_passed, parts = sent(frequent.select("lang", "phrase").mapInArrow(_hashes, "h bigint")), []
-    for width in range(2, longest):
+    for width in range(2, longest + 1):
         cells = shards.mapInArrow(_cells(words_passed, list(parts), width), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
         many = stored(cells.filter(F.col("n") >= least).select(F.shiftleft(F.col("cell").cast("long"), 64 - CELL_BITS).alias("h")), "cells")
         parts.append(sent(many))
