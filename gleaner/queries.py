@@ -209,7 +209,7 @@ def tree_ingest(spark, sf_dir):
     def rows(tables: str, name: str) -> DataFrame:
         versions_of = registry_table(spark, tables).all_versions().groupBy("file_id").agg(F.count(F.lit(1)).alias("runs"))
         current = registry_table(spark, tables).current().join(versions_of, "file_id")
-        path = F.substring_index(F.substring_index("file_path", f"{folder.removeprefix('file:')}/files/", -1), "//", -1)
+        path = F.substring_index("file_path", f"/{folder.rpartition('/')[2]}/files/", -1)
         return current.select(F.lit(name).alias("job"), path.alias("file_path"), "scan_status", "ioc_count", "runs")
 
     return rows(batch, "batch").union(rows(stream, "stream"))
