@@ -38,9 +38,11 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table as a stream of its files."""
-    source = spark.readStream.schema(table(spark, sf_dir, name).schema).option("pathGlobFilter", f"{name}.parquet")
-    return source.parquet(sf_dir)
+    """A table as a stream of its files, whether it is one file or a folder of them.
+
+    A stream takes a single file only as what a pattern finds; this one finds just the table.
+    """
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{{{name}.parquet}}")
 
 
 def _minutes(n: Column) -> Column:

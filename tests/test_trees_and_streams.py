@@ -12,7 +12,7 @@ from gleaner.operators import fuzzy, vector_index, vectors
 from gleaner.operators.extract import scan
 from gleaner.plans.ingest import run_ingest
 from gleaner.session import ship_package
-from gleaner.sources import files
+from gleaner.sources import corpus, files
 from gleaner.sources.tables import ioc_table, registry_table
 from gleaner.sources.tree import changed, register, walk
 from gleaner.streaming import jobs
@@ -268,3 +268,16 @@ def test_only_changed_contents_are_scanned(spark, monkeypatch):
         monkeypatch.setattr(ingest, "BROADCAST_FILES", bound)
         got = ingest.scanned_changes(files_, registry, with_ioc_count)
         assert sorted((r["file_id"], r["ioc_count"]) for r in got.collect()) == [("f4", 1), ("f5", 1)]
+
+
+def test_a_table_in_many_files_is_a_stream(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id bigint, text string")
+    rows.repartition(3).write.parquet(str(tmp_path / "tables" / "documents.parquet"))
+    rows.write.parquet(str(tmp_path / "tables" / "documents.parquet.old"))
+    part = next(f for f in (tmp_path / "tables" / "documents.parquet").iterdir() if f.name.startswith("part-"))
+    (tmp_path / "tables" / "pages.parquet").write_bytes(part.read_bytes())
+    for name, want in (("documents", 30), ("pages", spark.read.parquet(str(part)).count())):
+        sink = str(tmp_path / name)
+        seen = corpus.stream(spark, str(tmp_path / "tables"), name).select(F.lit("t").alias("ioc_type"), F.timestamp_seconds("doc_id").alias("first_seen"))
+        jobs.daily_counts(seen, sink, f"{sink}-checkpoint").awaitTermination()
+        assert jobs.current_daily_counts(spark, sink).agg(F.sum("count")).first()[0] == want
