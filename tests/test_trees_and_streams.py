@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,8 +14,9 @@ from gleaner.operators.extract import scan
 from gleaner.plans.ingest import run_ingest
 from gleaner.session import ship_package
 from gleaner.sources import corpus, files
+from gleaner.sources.objects import _read_chunks
 from gleaner.sources.tables import ioc_table, registry_table
-from gleaner.sources.tree import changed, register, walk
+from gleaner.sources.tree import TreeSource, TreeStreamReader, changed, register, walk
 from gleaner.streaming import jobs
 
 
@@ -281,3 +283,25 @@ def test_a_table_in_many_files_is_a_stream(spark, tmp_path):
         seen = corpus.stream(spark, str(tmp_path / "tables"), name).select(F.lit("t").alias("ioc_type"), F.timestamp_seconds("doc_id").alias("first_seen"))
         jobs.daily_counts(seen, sink, f"{sink}-checkpoint").awaitTermination()
         assert jobs.current_daily_counts(spark, sink).agg(F.sum("count")).first()[0] == want
+
+
+def test_a_tree_stream_lists_by_tasks(spark, tmp_path, monkeypatch):
+    """What the driver lists file by file takes as long as the tree is large, however many executors there are."""
+    monkeypatch.setattr(TreeStreamReader, "latestOffset", lambda self: 1 / 0)
+    root, tables, checkpoint = (str(tmp_path / n) for n in ("in", "tables", "checkpoint"))
+    write(root, "a/one.txt", b"1.2.3.4"), write(root, "b/empty.md", b"")
+    source = spark.dataSource  # the patched class is the one that is sent
+    source.register(TreeSource)
+    for _ in range(3):
+        jobs.ingest_tree(spark, root, tables, checkpoint).awaitTermination()
+    assert sorted((os.path.basename(r["file_path"]), r["scan_status"]) for r in registry_table(spark, tables).all_versions().collect()) == [("empty.md", "misc"), ("one.txt", "infected")]
+    assert sorted(os.listdir(f"{checkpoint}-listings")) == ["1", "2"]
+    gone = files.changes_since_last(spark, str(tmp_path / "none"), (), f"{checkpoint}-other", 0).collect()
+    assert len(gone) == 1 and "FileNotFoundError" in gone[0]["error"]
+
+
+def test_small_chunks_go_out_together():
+    rows = pa.RecordBatch.from_arrays([pa.array([f"k{i}" for i in range(50)]), pa.array(["/none"] * 50), pa.array(range(50)), pa.array([0] * 50), pa.array([5] * 50)],
+                                      names=["object_key", "file_path", "chunk", "start", "length"])
+    out = list(_read_chunks(iter([rows])))
+    assert len(out) == 1 and out[0].column(0).to_pylist() == [f"k{i}" for i in range(50)]
