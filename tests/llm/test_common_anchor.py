@@ -45,3 +45,20 @@ def test_no_task_searches_a_group_larger_than_a_shard(spark):
     for k, t in enumerate(texts):
         want = {i + j for i in around if count[t[i:i + length]] > 1 for j in range(length)}
         assert got.get(b"class%03d" % k, set()) == want
+
+
+def test_a_place_has_a_row_for_many_windows(spark):
+    """Windows of a common passage that overlap are one span before the places of its context are joined."""
+    ship_package(spark)
+    rnd = random.Random(7)
+    length, gram, limit = 40, 8, 1_000
+    side = length - gram
+    rows = []
+    for k in range(60):
+        head, tail = (rnd.randbytes(8).hex().encode() for _ in range(2))
+        context = head[:4] + b"a common passage, the same in all of them, and a little more." + tail[:3]
+        rows += [(1, suffix._digest(context, side), b"class%03d-%d" % (k, copy), 100, side, False, context) for copy in range(4)]
+    frame = spark.createDataFrame(rows, suffix.CONTEXT)
+    found = suffix._common_spans(frame, suffix._search(length, limit, 1 << 20), length, limit).collect()
+    assert {bytes(r["class"]) for r in found} == {r[2] for r in rows} and len(found) == len(rows)
+    assert {(r["first"], r["end"]) for r in found} == {(100, 100 + len(rows[0][6]))}
