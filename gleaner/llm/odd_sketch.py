@@ -130,7 +130,7 @@ def _signed(docs: DataFrame, shingle: int, bands: int, width: int) -> DataFrame:
 
 
 class _Screen:
-    """Which pairs of the classes of a batch of buckets may be links; columns are cid, comp, n and the sketch's words."""
+    """Which pairs of the classes of a batch of buckets may be links; columns are the row, comp, n and the sketch's words. Pairs are of rows."""
 
     def __init__(self, limit: int, percent: int, nearest: bool):
         self.limit, self.percent, self.nearest = limit, percent, nearest
@@ -195,20 +195,37 @@ class _Screen:
 
 
 def _pairs(members: DataFrame, classes: DataFrame, limit: int, percent: int, nearest: bool, block: int) -> DataFrame:
-    """Candidates ``(member, leader)`` among ``(key, cid, comp, size)``, whose buckets have ``size`` rows each."""
+    """Candidates ``(member, leader)`` among ``(key, cid, comp, size)``, whose buckets have ``size`` rows each.
+
+    Without ``nearest`` a pair is given by one bucket, that of the first band in which the two agree, however many they share: ``classes`` has
+    the ``keys`` of all bands for that.
+    """
     screen = _Screen(limit, percent, nearest)
-    known = members.join(classes.select("cid", "n", "sketch"), "cid").withColumn("blocks", F.ceil(F.col("size") / block))
+    bands = [] if nearest else ["keys"]
+    known = members.join(classes.select("cid", "n", "sketch", *bands), "cid").withColumn("blocks", F.ceil(F.col("size") / block))
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     met = known.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     dealt = met.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "key", F.least("own", "other").alias("a"),
-                       F.greatest("own", "other").alias("b"), "own", "cid", "comp", "n", "sketch")
+                       F.greatest("own", "other").alias("b"), "own", "cid", "comp", "n", "sketch", *bands)
     dealt = dealt.repartition("g").sortWithinPartitions("g", "key", "a", "b", "own", "cid")
 
     def compared(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         g, key, a, b, own, cid, comp, n = (table.column(k).to_numpy() for k in range(8))
         sketches = pa.concat_arrays(table.column(8).chunks) if table.column(8).num_chunks else pa.array([], pa.binary())
         words = np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(len(table), -1)
-        columns = (cid, comp, n, words)
+        columns = (np.arange(len(table)), comp, n, words)
+        keys = None if nearest else table.column(9).combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+
+        def given(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for all_u, all_v in pairs:
+                for at in range(0, len(all_u), 100_000):
+                    u, v = all_u[at:at + 100_000], all_v[at:at + 100_000]
+                    if keys is not None:
+                        first = (keys[u] == keys[v]).argmax(axis=1)
+                        here = keys[u, first] == key[u]
+                        u, v = u[here], v[here]
+                    yield cid[u], cid[v]
+
         new = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         starts = np.concatenate(([0], np.flatnonzero(new) + 1))
         sizes = np.diff(np.append(starts, len(table)))
@@ -217,22 +234,21 @@ def _pairs(members: DataFrame, classes: DataFrame, limit: int, percent: int, nea
             if size > 1:
                 of = starts[simple & (sizes == size)]
                 for at in range(0, len(of), 4096):
-                    yield screen.small(columns, of[at:at + 4096], size)
+                    yield from given(iter([screen.small(columns, of[at:at + 4096], size)]))
         for start, size in zip(starts[~simple].tolist(), sizes[~simple].tolist()):
             rows = np.arange(start, start + size)
             same = bool(a[start] == b[start])
             sides = [rows] if same else [rows[own[rows] == a[start]], rows[own[rows] == b[start]]]
             if len(sides[0]) and len(sides[-1]):
                 left, right = (tuple(c[side] for c in columns) for side in (sides[0], sides[-1]))
-                yield from screen.large(left, right, same)
+                yield from given(screen.large(left, right, same))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
             for u, v in compared(table):
-                for at in range(0, len(u), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(u[at:at + 100_000], pa.int64()), pa.array(v[at:at + 100_000], pa.int64())], names=["member", "leader"])
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["member", "leader"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -380,7 +396,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, shingle: int = SHIN
         if left.isEmpty():
             break
         fine = fine if fine is not None else _finer(left, narrow, classes, shingle)
-        links = stored(links.union(_confirmed(_pairs(left, fine, limit, percent, nearest, block), narrow, classes, percent, shingle)), "links")
+        of = fine if nearest else fine.join(classes.select("cid", "keys"), "cid")
+        links = stored(links.union(_confirmed(_pairs(left, of, limit, percent, nearest, block), narrow, classes, percent, shingle)), "links")
     roots = _roots(links)
     placed = classes.join(roots, F.col("cid") == F.col("node"), "left").select("digest", "least", F.coalesce("root", "cid").alias("root"))
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("digest", "component_id")

@@ -112,3 +112,26 @@ def test_sketches_tell_similarity(count, size, other):
     expected = size / 2 * (1 - (1 - 2 / size) ** differ)
     assert abs(np.mean(at_limit) - expected) < size / 100 and max(at_limit) <= limit
     assert min(bits(other) for _ in range(100)) > limit
+
+
+def test_a_pair_is_given_by_one_bucket(spark, monkeypatch):
+    """Texts just under the limit share many buckets; all pairs of them were given by each of these."""
+    ship_package(spark)
+    rows = []
+    for doc in range(16):  # three words of 200 differ in each, never the same or near ones: 173 of 221 shingles are common to two
+        words = [f"w{i}" for i in range(200)]
+        for at in (0, 64, 128):
+            words[at + 4 * doc + 3] = f"x{doc}.{at}"
+        rows.append((doc, " ".join(words)))
+    pairs, given = odd_sketch._pairs, []
+
+    def watched(*args):
+        found = pairs(*args)
+        if not args[4]:
+            given.append([tuple(sorted(r)) for r in found.collect()])
+        return found
+
+    monkeypatch.setattr(odd_sketch, "_pairs", watched)
+    got = odd_sketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.filter("kept").count() == 16
+    assert given and len(given[0]) == len(set(given[0])) > 100
