@@ -62,3 +62,19 @@ def test_a_place_has_a_row_for_many_windows(spark):
     found = suffix._common_spans(frame, suffix._search(length, limit, 1 << 20), length, limit).collect()
     assert {bytes(r["class"]) for r in found} == {r[2] for r in rows} and len(found) == len(rows)
     assert {(r["first"], r["end"]) for r in found} == {(100, 100 + len(rows[0][6]))}
+
+
+def test_places_are_joined_with_one_span_a_context(spark):
+    """Nothing is taken apart after the places are joined, so rows are places, however many windows a context has."""
+    ship_package(spark)
+    rnd = random.Random(8)
+    length, gram = 40, 8
+    side = length - gram
+    rows = []
+    for k in range(40):
+        context = rnd.randbytes(2 + k % 7).hex().encode() + b"what a crowd of others has, and again the same, and more of it, and"
+        context = context[-side - length:]
+        rows += [(1, suffix._digest(context, side), b"class%03d-%d" % (k, copy), 7 * copy, side, copy == 2, context) for copy in range(3)]
+    found = suffix._common_spans(spark.createDataFrame(rows, suffix.CONTEXT), suffix._search(length, 1_000, 1 << 20), length, 1_000)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((bytes(r["class"]), r["first"], r["end"]) for r in found.distinct().collect()) == sorted((r[2], r[3], r[3] + len(r[6])) for r in rows)
