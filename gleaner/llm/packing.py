@@ -101,9 +101,9 @@ class Remembered:
         """Who must be added; the others stay at least until the next call."""
         if self.size > self.limit:
             self.old, self.young, self.size = (self.young, {}, 0) if self.size < 2 * self.limit else ({}, {}, 0)
-        absent = words.difference(self.young)
-        self.add({w: self.old[w] for w in absent.intersection(self.old)})
-        return list(absent.difference(self.old))
+        absent, old = words.difference(self.young), self.old
+        self.add({w: old[w] for w in absent if w in old})
+        return [w for w in absent if w not in old]
 
 
 @lru_cache(maxsize=2)

@@ -163,6 +163,16 @@ def test_remembered_pieces_are_bounded_in_bytes():
     assert memory.missing({b"often"}) == [b"often"] and not memory.young and not memory.old
 
 
+def test_old_pieces_are_looked_up_and_not_gone_through():
+    class Counted(dict):
+        def __iter__(self):
+            raise AssertionError("every batch goes through all that is remembered")
+
+    memory = packing.Remembered()
+    memory.old = Counted({b"%d" % i: bytes(4) for i in range(1000)})
+    assert memory.missing({b"7", b"new"}) == [b"new"] and memory.young == {b"7": bytes(4)}
+
+
 def test_words_encoded_in_one_go_are_as_each_by_itself():
     import public_tokenizers
     from tokenizers import Tokenizer
