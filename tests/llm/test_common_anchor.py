@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import suffix
 from gleaner.session import ship_package
 
@@ -78,3 +80,18 @@ def test_places_are_joined_with_one_span_a_context(spark):
     found = suffix._common_spans(spark.createDataFrame(rows, suffix.CONTEXT), suffix._search(length, 1_000, 1 << 20), length, 1_000)
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((bytes(r["class"]), r["first"], r["end"]) for r in found.distinct().collect()) == sorted((r[2], r[3], r[3] + len(r[6])) for r in rows)
+
+
+def _one_passage(spark, parts):
+    """Three texts around one passage, as ``repeated_spans`` takes them."""
+    texts = [(k, " ".join([f"{k}.{i}" for i in range(3)] + parts + [f"{k}/{i}" for i in range(3)])) for k in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    return docs.withColumns({"class": F.unhex(F.sha2("text", 256)), "tag": F.xxhash64("text")})
+
+
+def test_byte_spans_that_are_sent_do_not_overlap(spark):
+    ship_package(spark)
+    rnd = random.Random(31)
+    found = suffix.repeated_spans(_one_passage(spark, [rnd.randbytes(8).hex() for _ in range(300)])).collect()
+    assert [len(r["spans"]) for r in found] == [1, 1, 1]
+    assert {r["spans"][0]["end"] - r["spans"][0]["first"] for r in found} == {300 * 17 + 3}  # the passage, three bytes before it and one after
