@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.anchors import merged, minimizers, mixed, shared_anchors
+from gleaner.llm.anchors import merged, merged_spans, minimizers, mixed, shared_anchors
 from gleaner.llm.common import as_bytes, pieces, stored
 from gleaner.llm.fm_index import FMIndex
 
@@ -197,7 +197,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
         common = texts.filter(F.exists("places", lambda p: p["hot"])).mapInArrow(contexts(True), columns)
         spans = spans.union(_common_spans(stored(common, "common"), window))
 
-    partial = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+    partial = merged_spans(spans, "doc_id")
     partial = classes.join(partial, F.col("least") == F.col("doc_id")).select("doc_id", "class", "spans")
     copies = known.select("doc_id", "class").distinct().join(classes, "class").filter("doc_id > least")
     return partial.union(copies.select("doc_id", "class", F.lit(None).cast(partial.schema["spans"].dataType)))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gleaner.llm import suffix
+from gleaner.llm import substring, suffix
 from gleaner.session import ship_package
 
 
@@ -95,3 +95,10 @@ def test_byte_spans_that_are_sent_do_not_overlap(spark):
     found = suffix.repeated_spans(_one_passage(spark, [rnd.randbytes(8).hex() for _ in range(300)])).collect()
     assert [len(r["spans"]) for r in found] == [1, 1, 1]
     assert {r["spans"][0]["end"] - r["spans"][0]["first"] for r in found} == {300 * 17 + 3}  # the passage, three bytes before it and one after
+
+
+def test_word_spans_that_are_sent_do_not_overlap(spark):
+    ship_package(spark)
+    rnd = random.Random(32)
+    found = substring.repeated_spans(_one_passage(spark, [rnd.randbytes(8).hex() for _ in range(300)])).collect()
+    assert sorted((r["doc_id"], [tuple(s) for s in r["spans"]]) for r in found) == [(1, [(3, 303)]), (2, [(3, 303)])]
