@@ -32,7 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import as_bytes, passing, pieces, stored
+from gleaner.llm.common import as_bytes, pieces, stored
+from gleaner.sources.tables import passing
 
 ORDER = 2
 #: Weight of the shorter context's distribution, in counts.
